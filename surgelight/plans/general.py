@@ -49,7 +49,7 @@ u AS (SELECT line_no, body, whole, {", ".join(f"CASE WHEN {src} LIKE '\"%' THEN
 d AS (SELECT *, trim(regexp_replace(created_at, '\\s+', ' ', 'g')) AS even FROM u),
 v AS (SELECT *, try_strptime(even, '%a %b %d %H:%M:%S %z %Y') AS stamp FROM d),
 ok AS (SELECT *, whole AND regexp_full_match(id_str, '[0-9]+') AND stamp IS NOT NULL
-  AND dayname(make_date(try_cast(right(even, 4) AS INT), month(try_strptime(substr(even, 5, 3), '%b')), try_cast(split_part(even, ' ', 3) AS INT)))[1:3] = substr(even, 1, 3)
+  AND dayname(try_strptime(substr(even, 5, 6) || ' ' || right(even, 4), '%b %d %Y'))[1:3] = substr(even, 1, 3)
   AND user_id_str <> '' AND regexp_full_match(retweet_count, '[0-9]+') AND regexp_full_match("at", '[0-9]+') AND regexp_full_match(http, '[0-9]+')
   AND regexp_full_match(hashtag, '[0-9]+') AND retweeted IN ('True', 'False') AS good,
   coalesce(h1 = 'id_str' OR h2 = 'created_at', false) AS header FROM v)"""
