@@ -1,0 +1,45 @@
+"""Queries of the operators for language-model data, and SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from surgelight.llm import encoding, lookalikes, vertical
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.odd_characters(_table(spark, sf_dir, "tweets"))
+
+
+def p2_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts and tokens in one consistent form."""
+    return lookalikes.with_consistent_form(_table(spark, sf_dir, "tweets").select("seq", "text", "tokens"), "text", "tokens")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = vertical.marked_terms(_table(spark, sf_dir, "tweets"))
+    return marked.where("mark IS NOT NULL").select(F.col("term").alias("token"), "mark")
+
+
+def p3_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical.term_frequencies(_table(spark, sf_dir, "tweets"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encoded(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_form, p3_found, p3_frequencies, p7_ids)}
+
+_COUNTS = """
+t AS (SELECT seq, unnest(tokens) AS term FROM tweets),
+c AS (SELECT term, count(*) AS occurrences, count(DISTINCT seq) AS records FROM t WHERE term IS NOT NULL AND term <> '' GROUP BY term)"""
+ORACLES = {
+    "p3_found": f"WITH {_COUNTS} SELECT term AS token, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE records < 3 OR records > 5e-2 * (SELECT count(*) FROM tweets)",
+    "p3_frequencies": f"WITH {_COUNTS} SELECT * FROM c",
+}
