@@ -79,10 +79,10 @@ class _Chunk:
         if not len(codes):
             return
         both = np.sort(codes * CHUNK + records)
-        first = np.flatnonzero(np.diff(both, prefix=-1))
+        first = np.flatnonzero(np.diff(both, prepend=-1))
         distinct = both[first]
         term, record = distinct >> 16, (distinct & (CHUNK - 1)).astype(np.uint16)
-        begin = np.flatnonzero(np.diff(term, prefix=-1))
+        begin = np.flatnonzero(np.diff(term, prepend=-1))
         end = np.append(begin[1:], len(term))
         occurrences = np.diff(np.append(first[begin], len(both)))
         size = end - begin
