@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster, or a local one where ``spark.checkpoint.dir`` is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "surgelight-checkpoints")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read again; removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/surgelight-{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
