@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgelight.llm import encoding, lookalikes, vertical
+from surgelight.llm import encoding, lookalikes, minhash, vertical
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,26 @@ def p3_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertical.term_frequencies(_table(spark, sf_dir, "tweets"))
 
 
+def _with_number(tweets: DataFrame) -> DataFrame:
+    """The digits of ``id_str`` as a number, beside text and order."""
+    number = F.regexp_replace("id_str", "[^0-9]", "").try_cast("bigint")
+    return tweets.select(number.alias("id"), "text", "seq")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_pairs(_with_number(_table(spark, sf_dir, "tweets")))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per identifier: its group of near-duplicates and the number of links of its class."""
+    return minhash.near_duplicate_groups(_with_number(_table(spark, sf_dir, "tweets")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_form, p3_found, p3_frequencies, p7_ids)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_form, p3_found, p3_frequencies, p4_found, p4_groups, p7_ids)}
 
 _COUNTS = """
 t AS (SELECT seq, unnest(tokens) AS term FROM tweets),
