@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgelight.llm import encoding, lookalikes, minhash, vertical
+from surgelight.llm import encoding, lookalikes, minhash, personal, vertical
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = personal.read_names(_table(spark, sf_dir, "name_list"))
+    return personal.personal_data(_table(spark, sf_dir, "tweets"), names).select("seq", "kind").distinct()
+
+
+def p1_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with typed placeholders."""
+    names = personal.read_names(_table(spark, sf_dir, "name_list"))
+    return personal.with_placeholders(_table(spark, sf_dir, "tweets").select("seq", "text"), names)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.odd_characters(_table(spark, sf_dir, "tweets"))
 
@@ -49,7 +60,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_form, p3_found, p3_frequencies, p4_found, p4_groups, p7_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p2_form, p3_found, p3_frequencies, p4_found, p4_groups, p7_ids)}
 
 _COUNTS = """
 t AS (SELECT seq, unnest(tokens) AS term FROM tweets),
