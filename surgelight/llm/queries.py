@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgelight.llm import encoding, lookalikes, minhash, personal, vertical
+from surgelight.llm import encoding, leakage, lookalikes, minhash, personal, vertical
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p2_form, p3_found, p3_frequencies, p4_found, p4_groups, p7_ids)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaking document with its items and the merged spans to remove."""
+    found = leakage.leaked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.to_json("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p2_form, p3_found, p3_frequencies, p4_found, p4_groups, p7_ids, p8_found, p8_spans)}
 
 _COUNTS = """
 t AS (SELECT seq, unnest(tokens) AS term FROM tweets),
