@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surgelight.llm import encoding, leakage, lookalikes, minhash, personal, vertical
+from surgelight.llm import abuse, encoding, leakage, lookalikes, minhash, personal, vertical
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,22 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), F.to_json("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p2_form, p3_found, p3_frequencies, p4_found, p4_groups, p7_ids, p8_found, p8_spans)}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = abuse.fitted(documents, _table(spark, sf_dir, "abuse_labels"))
+    return abuse.scored(documents.select("doc_id", "source", "text"), model)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where("abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of abusive documents for each source."""
+    return abuse.rates(p9_scores(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p2_form, p3_found, p3_frequencies, p4_found, p4_groups, p7_ids, p8_found, p8_spans, p9_found, p9_scores, p9_rates)}
 
 _COUNTS = """
 t AS (SELECT seq, unnest(tokens) AS term FROM tweets),
