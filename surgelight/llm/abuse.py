@@ -185,7 +185,7 @@ def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     judgements; nulls do not count, and a tie is no judgement.
     """
     judged = labels.where(F.col(annotation).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.avg(annotation).alias("a")).where("i IS NOT NULL AND a <> 0.5")
-    n = judged.agg(F.count_if("a > 0.5").alias("p"), F.count_if("a < 0.5").alias("q")).first()
+    n = judged.agg(F.count_if(F.col("a") > 0.5).alias("p"), F.count_if(F.col("a") < 0.5).alias("q")).first()
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) / 1e6
     drawn = judged.where(place("i") < F.when(F.col("a") > 0.5, most / max(1, n.p)).otherwise(most / max(1, n.q)))
     texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
