@@ -41,7 +41,7 @@ QUERIES = {f.__name__: f for f in (p5_found, p5_reasons, p5_loaded, p6_found, p6
 _FIELD = '("(?:[^"]|"")*"|[^",\\r\\n]*)'
 _RECORD = "^" + ",".join([_FIELD] * 10) + "$"
 _NAMES = "['id_str','created_at','user_id_str','retweet_count','text','retweeted','at','http','hashtag']"
-_PARSED = f"""
+PARSED = f"""
 raw AS (SELECT line_no, body, regexp_full_match(coalesce(body, ''), '{_RECORD}') AS whole FROM csv_messages),
 f AS (SELECT line_no, body, whole, regexp_extract(coalesce(body, ''), '^{_FIELD},{_FIELD}', ['a', 'b']) AS h,
   regexp_extract(coalesce(body, ''), '^{",".join([_FIELD] * 9)}', {_NAMES}) AS x FROM raw),
@@ -56,8 +56,8 @@ ok AS (SELECT *, whole AND regexp_full_match(id_str, '[0-9]+') AND stamp IS NOT
 
 _FIRST = r"row_number() OVER (PARTITION BY regexp_replace(id_str, '[^0-9]', '', 'g') ORDER BY seq) AS r"
 ORACLES = {
-    "p5_found": f"WITH {_PARSED} SELECT line_no FROM ok WHERE NOT header AND NOT coalesce(good, false)",
-    "p5_loaded": f"WITH {_PARSED} SELECT line_no, id_str, CAST(epoch(stamp) AS BIGINT) AS unix, user_id_str, retweeted = 'True' AS retweeted, text FROM ok WHERE good AND NOT header",
+    "p5_found": f"WITH {PARSED} SELECT line_no FROM ok WHERE NOT header AND NOT coalesce(good, false)",
+    "p5_loaded": f"WITH {PARSED} SELECT line_no, id_str, CAST(epoch(stamp) AS BIGINT) AS unix, user_id_str, retweeted = 'True' AS retweeted, text FROM ok WHERE good AND NOT header",
     "p6_found": f"SELECT seq FROM (SELECT seq, {_FIRST} FROM tweets WHERE id_str IS NOT NULL) WHERE r > 1",
     "p6_first": f"SELECT seq, id_str, unix, text, retweet_count FROM (SELECT *, {_FIRST} FROM tweets) WHERE r = 1 OR id_str IS NULL",
 }

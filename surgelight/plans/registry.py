@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from surgelight.plans import general
+from surgelight.plans import core, general
 
-QUERIES = dict(general.QUERIES)
-ORACLES = dict(general.ORACLES)
+QUERIES = core.QUERIES | general.QUERIES
+ORACLES = core.ORACLES | general.ORACLES
+flagship = core.flagship
