@@ -45,7 +45,7 @@ def rejection(word: Column, rules: TokenFilters) -> Column:
     if rules.max_length > 0:
         chain = chain.when(n > rules.max_length, "max_length")
     if rules.min_character_diversity > 0:
-        distinct = F.size(F.array_distinct(F.split(word, "(?!^)")))
+        distinct = F.size(F.array_distinct(F.split(word, "(?!^)(?!$)")))
         chain = chain.when((n >= rules.min_character_diversity_lower_limit) & (distinct / n < rules.min_character_diversity), "diversity")
     if rules.max_character_repetition > 0:
         chain = chain.when(F.regexp_count(word, F.lit(r"(.)(?=\1)")) / n > rules.max_character_repetition, "repetition")

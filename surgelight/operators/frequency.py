@@ -98,9 +98,9 @@ def top_tokens(counts: DataFrame, k: int = 10) -> DataFrame:
 
 def class_of(tokens: DataFrame, classes: DataFrame, count: int) -> DataFrame:
     """``tokens`` (token) with the class of each: the last class for unknown tokens, 0 if there are no classes at all."""
-    some = classes.agg((F.count(F.lit(1)) > 0).alias("_some"))
-    found = tokens.join(classes.groupBy("token").agg(F.min("class").alias("_c")), "token", "left").crossJoin(F.broadcast(some))  # one row
-    return found.withColumn("class", F.coalesce("_c", F.when(F.col("_some"), max(1, count) - 1).otherwise(0)).cast("int")).drop("_c", "_some")
+    some = classes.agg(F.count(F.lit(1)) > 0).scalar()
+    found = tokens.join(classes.groupBy("token").agg(F.min("class").alias("_c")), "token", "left")
+    return found.withColumn("class", F.coalesce("_c", F.when(some, max(1, count) - 1).otherwise(0)).cast("int")).drop("_c")
 
 
 def growth_curve(df: DataFrame, every: int, order_col: str = "seq", tokens_col: str = "tokens") -> DataFrame:

@@ -37,10 +37,9 @@ def with_ordinal(df: DataFrame, order_col: str = "seq", name: str = "ordinal") -
 def with_batch(df: DataFrame, settings: Settings, order_col: str = "seq") -> DataFrame:
     """Adds ``batch``, from 0: every ``settings.batch`` messages make one; an incomplete last batch is null."""
     numbered = with_ordinal(df, order_col, "_n")
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    complete = F.floor(F.col("_t") / settings.batch)
+    complete = F.floor(df.agg(F.count(F.lit(1))).scalar() / settings.batch)
     batch = F.floor((F.col("_n") - 1) / settings.batch)
-    return numbered.crossJoin(F.broadcast(total)).withColumn("batch", F.when(batch < complete, batch)).drop("_n", "_t")  # total: one row
+    return numbered.withColumn("batch", F.when(batch < complete, batch)).drop("_n")
 
 
 def with_file(df: DataFrame, settings: Settings, order_col: str = "seq", tokens_col: str = "tokens") -> DataFrame:
@@ -54,50 +53,41 @@ def with_file(df: DataFrame, settings: Settings, order_col: str = "seq", tokens_
 def recent(df: DataFrame, settings: Settings, order_col: str = "seq") -> DataFrame:
     """The last ``window_batches * batch`` messages."""
     n = settings.window_batches * settings.batch
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    return with_ordinal(df, order_col, "_n").crossJoin(F.broadcast(total)).where(F.col("_n") > F.col("_t") - n).drop("_n", "_t")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return with_ordinal(df, order_col, "_n").where(F.col("_n") > total - n).drop("_n")
 
 
-def rebuilds(files: int, settings: Settings) -> list[int]:
-    """The files after which the frequency classes are rebuilt, when ``files`` files are complete.
-
-    First when the window is full, then every ``rebuild_every_files`` files.
-    """
-    full = settings.token_persist_files
-    return [f for f in range(full, files + 1) if f == full or (f - full) % max(1, settings.rebuild_every_files) == 0]
+def rebuild_count(files: int, settings: Settings) -> int:
+    """How many rebuilds are done when ``files`` files are complete: the first when the window is full, then one every ``rebuild_every_files`` files."""
+    over = files - settings.token_persist_files
+    return 0 if over < 0 else over // max(1, settings.rebuild_every_files) + 1
 
 
-def window_counts(file_counts: DataFrame, settings: Settings, at_files: list[int]) -> DataFrame:
-    """(rebuild, token, n): token counts that each rebuild uses, from (file_no, token, n).
+def window_counts(file_counts: DataFrame, settings: Settings, files: int) -> DataFrame:
+    """(rebuild, token, n): token counts that each rebuild uses, from (file_no, token, n) of ``files`` complete files.
 
-    ``rebuild`` is the number of files complete by then. In "sliding" mode the counts are those of the last
-    ``token_persist_files`` files. In "as_coded" mode they are what is left when, since the rebuild before, every new file is
-    counted and the file that leaves the window is taken out, a token's count never falling below 0.
+    ``rebuild`` is the number of files complete by then: with N files a window and every E files, N, N + E, N + 2E ...
+    In "sliding" mode the counts are those of the last N files. In "as_coded" mode they are what is left when, since the
+    rebuild before, every new file is counted and the file that leaves the window is taken out, a token's count never falling
+    below 0. Each row works out by itself which rebuilds it belongs to (about N / E of them).
     """
-    spark = file_counts.sparkSession
-    n = settings.token_persist_files
+    n, e = settings.token_persist_files, max(1, settings.rebuild_every_files)
+    file = F.col("file_no")
     if settings.window_mode == "sliding":
-        # the files of each rebuild, named one by one: at most token_persist_files rows a rebuild
-        plan = spark.createDataFrame([(r, f) for r in at_files for f in range(max(0, r - n), r)], "rebuild bigint, file_no bigint")
-        return file_counts.join(plan, "file_no").groupBy("rebuild", "token").agg(F.sum("n").alias("n"))
-    steps = []
-    for k, r in enumerate(at_files):
-        since = at_files[k - 1] if k else 0
-        for f in range(since, r):
-            steps.append((r, f, f, 1))
-            if f - n >= 0:
-                steps.append((r, f, f - n, -1))
-    plan = spark.createDataFrame(steps, "rebuild bigint, step bigint, file_no bigint, sign int")
-    moves = file_counts.join(plan, "file_no").groupBy("rebuild", "token", "step").agg(F.sum(F.col("n") * F.col("sign")).alias("d"))
-    order = Window.partitionBy("rebuild", "token").orderBy("step")  # at most one row for each file between two rebuilds
-    summed = moves.withColumn("s", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        first, last = F.greatest(F.lit(0), F.floor((file - n) / e) + 1), F.floor(file / e)
+        rows = file_counts.where(first <= last).withColumn("_k", F.explode(F.sequence(first, last))).withColumn("rebuild", n + F.col("_k") * e)
+        return rows.where(F.col("rebuild") <= files).groupBy("rebuild", "token").agg(F.sum("n").alias("n"))
+    added = F.struct(F.when(file < n, F.lit(n)).otherwise(n + (F.floor((file - n) / e) + 1) * e).cast("bigint").alias("rebuild"), file.cast("bigint").alias("step"), F.col("n").alias("d"))
+    gone = F.struct((n + (F.floor(file / e) + 1) * e).cast("bigint").alias("rebuild"), (file + n).cast("bigint").alias("step"), (-F.col("n")).alias("d"))
+    moves = file_counts.select("token", F.inline(F.array(added, gone))).where(F.col("rebuild") <= files).groupBy("rebuild", "token", "step").agg(F.sum("d").alias("d"))
+    steps = Window.partitionBy("rebuild", "token").orderBy("step")  # at most one row for each file between two rebuilds
+    summed = moves.withColumn("s", F.sum("d").over(steps.rowsBetween(Window.unboundedPreceding, 0)))
     least = summed.groupBy("rebuild", "token").agg(F.min("s").alias("least"), F.max_by("s", "step").alias("last"))
     return least.select("rebuild", "token", (F.col("last") - F.least(F.lit(0), F.col("least"))).alias("n")).where("n > 0")
 
 
-def rebuild_of_batch(batch_files: DataFrame, at_files: list[int]) -> DataFrame:
+def rebuild_of_batch(batch_files: DataFrame, settings: Settings) -> DataFrame:
     """(batch, rebuild): the last rebuild done when a batch begins, from (batch, first_file); batches before any are left out."""
-    out = F.lit(None).cast("bigint")
-    for r in at_files:
-        out = F.when(F.col("first_file") >= r, F.lit(r).cast("bigint")).otherwise(out)
-    return batch_files.select("batch", out.alias("rebuild")).where("rebuild IS NOT NULL")
+    n, e = settings.token_persist_files, max(1, settings.rebuild_every_files)
+    file = F.col("first_file")
+    return batch_files.where(file >= n).select("batch", (n + F.floor((file - n) / e) * e).cast("bigint").alias("rebuild"))

@@ -191,7 +191,7 @@ def _window_counts(spark: SparkSession, sf_dir: str, settings: Settings) -> Data
     filed = order.with_file(_tweets(spark, sf_dir), settings)
     counts = materialised(filed.groupBy("file_no", "token").agg(F.count(F.lit(1)).alias("n")), "files")
     last = counts.agg(F.max("file_no")).first()[0] or 0
-    return order.window_counts(counts, settings, order.rebuilds(last, settings))
+    return order.window_counts(counts, settings, last)
 
 
 def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

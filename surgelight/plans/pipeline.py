@@ -37,9 +37,6 @@ def busy_of_windows(df: DataFrame, settings: Settings, words: list[str] | None =
     filed = rows.select(before.alias("b"), F.posexplode("tokens").alias("pos", "token")).select("token", F.floor((F.col("b") + F.col("pos")) / settings.file_tokens).alias("file_no"))
     counts = filed.groupBy("file_no", "token").agg(F.count(F.lit(1)).alias("n"))
     last = rows.agg(F.max("upto")).first()[0] or 0
-    at = order.rebuilds(last // settings.file_tokens, settings)
-    if not at:
-        return rows.sparkSession.createDataFrame([], "batch bigint, class int, token string")
-    classes = frequency_classes(order.window_counts(counts, settings, at), settings.freq_classes, settings.min_count_threshold, by="rebuild")
+    classes = frequency_classes(order.window_counts(counts, settings, last // settings.file_tokens), settings.freq_classes, settings.min_count_threshold, by="rebuild")
     begins = rows.where("batch IS NOT NULL").groupBy("batch").agg(F.min(F.floor(before / settings.file_tokens)).alias("first_file"))
-    return busy.busy_words(busy.batch_counts(rows), classes, settings, order.rebuild_of_batch(begins, at))
+    return busy.busy_words(busy.batch_counts(rows), classes, settings, order.rebuild_of_batch(begins, settings))

@@ -99,8 +99,8 @@ def tweets(raw: DataFrame, settings: Settings, words: list[str] | None = None, b
 
 def strict_counts(raw: DataFrame, body: str = "body") -> DataFrame:
     """One row: rows, loadable ones and others."""
-    good = load_strict(raw, body).agg(F.count(F.lit(1)).alias("good"))
-    return raw.agg(F.count(F.lit(1)).alias("rows")).crossJoin(good).select("rows", "good", (F.col("rows") - F.col("good")).alias("bad"))  # one row each
+    good = load_strict(raw, body).agg(F.count(F.lit(1))).scalar()
+    return raw.agg(F.count(F.lit(1)).alias("rows")).withColumn("good", good).withColumn("bad", F.col("rows") - F.col("good"))
 
 
 # ------------------------------------------------------------------------------------------------- lists and state

@@ -78,7 +78,8 @@ def load_strict(raw: DataFrame, body: str = "body") -> DataFrame:
     ``record`` holds id_str, unix, user_id_str, retweet_count (bigint; null if it has more than 18 digits), text,
     retweeted, at, http, hashtag and words. All columns of ``raw`` stay. Headers, null, blank and broken bodies are left out.
     """
-    well = _with_fields(raw, body).where(F.col("_whole") & (F.col("_n") == len(FIELDS)))
+    names = [f"c{i}" for i in range(len(raw.columns))]
+    well = _with_fields(raw.toDF(*names), names[raw.columns.index(body)]).where(F.col("_whole") & (F.col("_n") == len(FIELDS)))
     unix = created_seconds(_field("created_at"))
     bad = F.lit(False)
     for fault, _ in _faults():
@@ -96,7 +97,7 @@ def load_strict(raw: DataFrame, body: str = "body") -> DataFrame:
         number("hashtag"),
         _field("words").alias("words"),
     )
-    return well.where(~bad & ~_header()).select(*(F.col(f"`{c}`") for c in raw.columns if c != "record"), record.alias("record"))
+    return well.where(~bad & ~_header()).select(*(F.col(i).alias(c) for i, c in zip(names, raw.columns) if c != "record"), record.alias("record"))
 
 
 def reject_reasons(raw: DataFrame, offset: str = "line_no", body: str = "body") -> DataFrame:

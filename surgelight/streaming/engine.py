@@ -61,14 +61,13 @@ class BusyStream:
     def results(self, epoch: int, first: int, end: int, tokens: int) -> DataFrame:
         """(batch, class, token) of batches ``first`` to ``end`` - 1."""
         s, log = self.settings, self.log(epoch)
-        at = order.rebuilds(tokens // s.file_tokens, s)
         rows = log.select("seq", "batch", "before", F.posexplode("tokens").alias("pos", "token"))
         filed = rows.select("token", F.floor((F.col("before") + F.col("pos")) / s.file_tokens).alias("file_no"))
         counts = filed.groupBy("file_no", "token").agg(F.count(F.lit(1)).alias("n"))
-        used = order.window_counts(counts, s, at) if at else self.spark.createDataFrame([], "rebuild bigint, token string, n bigint")
+        used = order.window_counts(counts, s, tokens // s.file_tokens)
         classes = frequency_classes(used, s.freq_classes, s.min_count_threshold, by="rebuild")
         begins = log.groupBy("batch").agg(F.min(F.floor(F.col("before") / s.file_tokens)).alias("first_file"))
-        schedule = order.rebuild_of_batch(begins.where(F.col("batch").between(first, end - 1)), at)
+        schedule = order.rebuild_of_batch(begins.where(F.col("batch").between(first, end - 1)), s)
         return busy.busy_words(busy.batch_counts(log), classes, s, schedule)
 
     def busy(self) -> DataFrame:
