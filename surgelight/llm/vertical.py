@@ -141,7 +141,7 @@ def marked_terms(df: DataFrame, terms_col: str = "tokens", min_records: int = 3,
 
     A term that is both (in a very small table) is marked rare.
     """
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    out = term_frequencies(df, terms_col).crossJoin(F.broadcast(total))  # one row
-    mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > F.lit(max_share) * F.col("_total"), "common")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    out = term_frequencies(df, terms_col)
+    mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > F.lit(max_share) * total, "common")
     return out.select("term", "occurrences", "records", mark.alias("mark"))
