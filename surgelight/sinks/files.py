@@ -16,7 +16,7 @@ from surgelight.sources.strict import FIELDS
 
 def write_messages(events: DataFrame, path: str) -> None:
     """The ten message columns as CSV files with a header; quotes inside a field are doubled."""
-    events.select(*FIELDS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, lineSep="\n")
+    events.select(*FIELDS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def busy_name(settings: Settings, started: dt.datetime) -> str:
@@ -26,7 +26,7 @@ def busy_name(settings: Settings, started: dt.datetime) -> str:
 def write_busy(rows: DataFrame, settings: Settings, started: dt.datetime) -> str:
     """Result rows as CSV under the log folder, sorted by batch and class; the folder's name is returned."""
     path = os.path.join(settings.log_dir, busy_name(settings, started))
-    rows.sort("Batch", "Class").write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    rows.sort("Batch", "Class").write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 

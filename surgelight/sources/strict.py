@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 FIELDS = ("id_str", "created_at", "user_id_str", "retweet_count", "text", "retweeted", "at", "http", "hashtag", "words")
 #: One field with the comma before it: quoted with doubled quotes, or without any quote or line break.
-_FIELD = r'(?:^|,)("(?:[^"]++|"")*+"|[^",\r\n]*+)'
+_FIELD = r',("(?:[^"]++|"")*+"|[^",\r\n]*+)'
 _DATE = (
     r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) ([0-9]{1,2}) "
     r"([01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9]) ([+-])(0[0-9]|1[0-9]|2[0-3])([0-5][0-9]) ([0-9]{4})$"
@@ -46,7 +46,7 @@ def created_seconds(c: Column) -> Column:
 
 def _with_fields(df: DataFrame, body: str) -> DataFrame:
     """Adds ``_n`` (fields found), ``_whole`` (the fields make up the body again) and ``_f`` (the unquoted fields)."""
-    raw = F.regexp_extract_all(F.col(body), F.lit(_FIELD), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), F.col(body)), F.lit(_FIELD), F.lit(1))
     out = df.withColumn("_r", raw)
     return out.withColumns(
         {"_n": F.size("_r"), "_whole": F.coalesce(F.array_join("_r", ",") == F.col(body), F.lit(False)), "_f": F.transform("_r", _unquoted)}
