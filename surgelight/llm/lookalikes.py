@@ -89,25 +89,33 @@ class Transducer:
         self.parts = regex.compile(rf"(?P<emoji>{emoji})|(?P<word>[\p{{L}}\p{{M}}\p{{Nd}}{forms}{hidden}]+)|(?P<other>[^\x00-\x7f]\p{{M}}*)")
         self.latin = regex.compile(rf"[\p{{Latin}}{forms}]")
         self.alien = regex.compile(rf"(?=\p{{L}})[{OTHER_ALPHABET}]")
-        self.cluster = regex.compile(rf"[^\p{{M}}{hidden}][\p{{M}}]*|.", regex.S)
+        self.hidden = regex.compile(f"[{hidden}]")
+        self.cluster = regex.compile(r"\P{M}?\p{M}*", regex.S)
 
     def _word(self, word: str) -> tuple[str, int]:
         mixed = bool(self.alien.search(word) and self.latin.search(word))
         out, kinds, table = [], ALPHABET if mixed else 0, self.table
-        for m in self.cluster.finditer(word):
+        shown = self.hidden.sub("", word)
+        if shown != word:
+            kinds |= HIDDEN
+        for m in self.cluster.finditer(shown):
             c, i = m[0], 0
+            if len(c) > 2:  # accents in their standard order
+                c = c[0] + "".join(sorted(c[1:], key=unicodedata.combining))
             while i < len(c):
                 for n in range(min(self.longest, len(c) - i), 0, -1):
                     hit = table.get(c[i : i + n])
                     if hit and (hit[1] != ALPHABET or mixed):
                         kinds |= hit[1]
-                        target = hit[0]
-                        # a full-width or look-alike letter may carry an accent of its own
-                        if hit[1] in (WIDTH, ALPHABET) and i + n < len(c) and (again := table.get(target + c[i + n :])):
-                            kinds |= again[1]
-                            target, n = again[0], len(c) - i
-                        out.append(target)
-                        i += n
+                        if hit[1] in (WIDTH, ALPHABET):  # its accents belong to the new letter
+                            c, i = hit[0] + c[i + n :], 0
+                            if len(c) > len(hit[0]):
+                                break
+                            out.append(c)
+                            i = len(c)
+                        else:
+                            out.append(hit[0])
+                            i += n
                         break
                 else:
                     out.append(c[i])
