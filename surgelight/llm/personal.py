@@ -34,7 +34,7 @@ PLACEHOLDERS = {k: f"<{k.upper()}>" for k in KINDS}
 CUES = {
     "email": "email e-mail mail mailto contact write reach send address inbox courriel correo",
     "phone": "phone tel ph telephone call text ring whatsapp mobile cell fax number dial sms reach me on tlf teléfono téléphone handy",
-    "id_number": "passport ssn social security tax id nino national insurance dni nie nif personnummer steuer-id steuer card nr licence license number forms identity pesel bsn tin sin itin driving driver",
+    "id_number": "passport ssn social security tax id nino national insurance dni nie nif personnummer steuer-id steuer card nr licence license forms identity pesel bsn tin sin itin driving driver",
     "address": "address live lives stays parcel deliver delivered party moved outside porter come ring twice home house visit ship send wohnt adresse",
     "name": "name signed met landlord dinner booked birthday cc thanks ask saw lunch accounts desk called owes won said mr mrs from regards sincerely dear by with",
 }
@@ -55,7 +55,8 @@ _ID_FORMS = {  # public formats of numbers issued to persons
     "us": r"\d{3}([- .])\d{2}\1\d{4}",
     "nine": r"\d{9}",
     "uk_insurance": r"[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]",
-    "de_tax": r"\d{2} ?\d{3} ?\d{3} ?\d{3}",
+    "de_tax": r"\d{2} \d{3} \d{3} \d{3}",
+    "eleven": r"\d{11}",
     "es": r"(?:[xyz]-?)?\d{7,8}-?[a-z]",
     "se": r"(?:\d{2})?\d{6}[-+]\d{4}",
     "passport": r"[a-z]{1,2}\d{6,8}",
@@ -79,7 +80,7 @@ _ADDRESS = {
     "en": re.compile(rf"(?:(?:flat|apt\.?|unit|suite) \d+[a-z]?,? )?(?<![\w@#=/.:-])\d{{1,5}}[a-z]?,? (?:[nsew]\.? )?(?:{_W} ){{1,3}}(?:{_STREET.replace(' ', '|')})\b(?:\.?,? (?:apt|flat|unit|suite)\.? \d+[a-z]?)?", re.I),
     "de": re.compile(r"(?<![\w@#])(?:[^\W\d_]+[ -])?[^\W\d_]{2,}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer|damm) \d{1,4} ?[a-z]?\b(?:, \d{5} [^\W\d_]+)?", re.I),
     "fr": re.compile(rf"(?<![\w@#=/.:-])\d{{1,4}},? (?:bis |ter )?(?:rue|avenue|boulevard|place|allée|chemin|quai|impasse) (?:de la |des |du |de |d['’]|l['’])*{_W}(?:, \d{{5}} {_W})?", re.I),
-    "es": re.compile(rf"(?<![\w@#])(?:calle|c/|avenida|avda\.?|plaza|paseo|via|viale|corso|piazza) ?(?:de la |del |de )?{_W}(?: {_W})?,? (?:n[º°o.]+ ?)?\d{{1,4}}(?:, \d{{1,2}} ?[º°ª] ?\w\b)?", re.I),
+    "es": re.compile(rf"(?<![\w@#])(?:c/ ?|(?:calle|avenida|avda\.?|plaza|paseo|via|viale|corso|piazza) )(?:de la |del |de )?{_W}(?: {_W})?,? (?:n[º°o.]+ ?)?\d{{1,4}}(?:, \d{{1,2}} ?[º°ª] ?\w\b)?", re.I),
     "box": re.compile(r"(?<![\w@#])(?:p\.? ?o\.? ?box|post office box|postfach|apartado(?: de correos)?|casella postale) (?:no\.? ?)?\d{1,8}", re.I),
 }
 _WORDS = re.compile(_W)
@@ -238,6 +239,8 @@ def _ids(text: str) -> Iterator[Segment]:
                 f["id_number:more digits beside"] = 1.0
             if m[0] != m[0].lower():
                 f["id_number:capitals"] = 1.0
+            if form == "eleven" and re.fullmatch(r"1[2-9]\d{9}|0\d{10}", m[0]):
+                f["id_number:form of a phone number"] = 1.0
             yield Segment(m.start(), m.end(), "id_number", f)
 
 
@@ -383,7 +386,7 @@ class SemiMarkov:
         total = fore[-1] if n else 0.0
         return total, [math.exp(fore[at[s.start]] + x[k] + back[at[s.end]] - total) for k, s in enumerate(segments)]
 
-    def train(self, examples: list[tuple[list[Segment], set[tuple[int, int, str]]]], rounds: int = 6, rate: float = 0.5, shrink: float = 0.01) -> None:
+    def train(self, examples: list[tuple[list[Segment], set[tuple[int, int, str]]]], rounds: int = 10, rate: float = 0.5, shrink: float = 0.003) -> None:
         squares: dict[str, float] = {}
         for _ in range(rounds):
             for segments, true in examples:
@@ -447,7 +450,7 @@ def _email(r: random.Random) -> str:
 
 
 _PHONE_FORMS = "555-0199|+44 20 7946 0999|+1 (999) 555-0199|+1-999-555-0199|999-555-0199|999.555.0199|(999) 555 0199|1999555019|+33 6 99 99 99 99|01 99 99 99 99|07700 900999|+447700900999|020 7946 0999|0491-570-999|001-999-555-0199|+1/999/5550199|(0114) 496 0999 ext. 99|+49 30 9999999|999 555 0199|1 999 555 0199|12999550199|0699999999|+46 70 174 06 99|030 23125 999|01632 960999|+34 699 999 999".split("|")
-_ID_VALUES = "000-99-9999|666 99 9999|999-79-9999|666999999|AA 99 99 99 D|AA999999C|99 999 999 999|99999999A|X9999999A|19999999-9999|999999-9999|AA999999|X9999999|A99-99999|AA999.999|AAAAA999999AA9AA|AAAAA999999AA9AA".split("|")
+_ID_VALUES = "000-99-9999|666 99 9999|999-79-9999|666999999|AA 99 99 99 D|AA999999C|99 999 999 999|99999999999|99999999A|X9999999A|19999999-9999|999999-9999|AA999999|X9999999|A99-99999|AA999.999|AAAAA999999AA9AA|AAAAA999999AA9AA".split("|")
 _ID_CUES = "ssn|my social is|social security number:|tax id|nino|national insurance|Steuer-ID|DNI|personnummer|passport no.|lost my passport, number|passport|id card nr|driving licence|put down|they want|here it is:|my identity number is|".split("|")
 _DECOYS = (
     "see tweet 999999999999999999|order no 999999999|order no 99999999|page 99 of 999|from 192.0.2.999|error 0x9ad99e|build 9.9.99|only 99.99 @ the {w} stall|mail at 9 dot on the {w}|sale at 9|come to the {w} sale at 11|"
@@ -502,9 +505,11 @@ def corpus(names: NameList, n: int, seed: int) -> list[tuple[str, list[tuple[int
             value = form(value)
             carrier = r.choice(_CARRIERS[kind].split("|"))
             cue = r.choice(_ID_CUES)
+            if kind == "id_number" and len(value) == 11 and value.isdigit():
+                carrier, cue = "{c} {x}", r.choice(["Steuer-ID", "tax id", "national id", "identity number"])
             if kind == "id_number" and "{c}" not in carrier and re.fullmatch(r"\d+", value):
                 carrier = "{c} {x}"
-            if kind == "id_number" and re.fullmatch(r"\d+", value) and cue in ("", "they want", "put down", "here it is:"):
+            if kind == "id_number" and len(value) == 9 and value.isdigit() and cue in ("", "they want", "put down", "here it is:"):
                 cue = "social security number:"
             before, after = carrier.split("{x}")
             text += form(before.replace("{c}", cue)).lstrip()
