@@ -117,6 +117,18 @@ def words_of(lines: DataFrame, line: str = "line") -> list[str]:
     return sorted(r.word for r in word_list(lines, line).collect())
 
 
+def changed_words(words: DataFrame, add: list[str] = (), remove: list[str] = ()) -> DataFrame:
+    """The word list with words added and taken out, whatever their case."""
+    spark = words.sparkSession
+    more = spark.createDataFrame([(w.strip().lower(),) for w in add if w.strip()], "word string")
+    return words.unionByName(more).distinct().where(~F.col("word").isin([w.strip().lower() for w in remove]))
+
+
+def first_messages(messages: DataFrame, n: int = 500, body: str = "body") -> DataFrame:
+    """The first ``n`` bodies that are no headers, for trying a queue out."""
+    return messages.where(~F.col(body).startswith("id_str")).limit(n)
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(token) of text files with one token a line; blank lines are left out."""
     return spark.read.text(path).select(F.trim("value").alias("token")).where("token <> ''")
@@ -139,15 +151,19 @@ def read_state(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
 def start_millis(path: Column) -> Column:
     """Start time in epoch milliseconds from a file name; null if the name holds none.
 
-    Names are ``..._START_END.csv`` or ``....csv_START_END.csv`` with 13-digit milliseconds, ``YYYYMMDD_HHMMSS`` (UTC), or a
-    10-digit epoch second.
+    Names are ``..._START_END.csv`` or ``....csv_START_END.csv`` with 13-digit milliseconds, ``YYYYMMDD_HHMMSS`` (UTC), a
+    10-digit epoch second, or without a year ``MMDD_HHMM`` or ``HHMM``, which count from the beginning of 1970: these order
+    files of one year or one day only.
     """
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     millis = F.regexp_extract(name, r"(?<!\d)(\d{13})_\d{13}(?!\d)", 1)
     date = F.regexp_extract(name, r"(?<!\d)(\d{8}_\d{6})(?!\d)", 1)
     second = F.regexp_extract(name, r"(?<!\d)(\d{10})(?!\d)", 1)
     stamp = F.unix_millis(F.try_to_timestamp(F.when(date != "", date), F.lit("yyyyMMdd_HHmmss")))
-    return F.when(millis != "", millis.cast("bigint")).when(stamp.isNotNull(), stamp).when(second != "", second.cast("bigint") * 1000)
+    day, hour = F.regexp_extract(name, r"(?<!\d)(\d{4}_\d{4})(?!\d)", 1), F.regexp_extract(name, r"(?<!\d)(\d{4})(?!\d)", 1)
+    short = F.unix_millis(F.try_to_timestamp(F.when(day != "", F.concat(F.lit("1970"), day)), F.lit("yyyyMMdd_HHmm")))
+    clock = F.unix_millis(F.try_to_timestamp(F.when(hour != "", F.concat(F.lit("19700101"), hour)), F.lit("yyyyMMddHHmm")))
+    return F.when(millis != "", millis.cast("bigint")).when(stamp.isNotNull(), stamp).when(second != "", second.cast("bigint") * 1000).when(short.isNotNull(), short).when(clock.isNotNull(), clock)
 
 
 def in_time_order(files: DataFrame, path: str = "path") -> DataFrame:

@@ -1,8 +1,10 @@
-"""A streaming source for message queues: ``spark.readStream.format("surgelight_queue")``.
+"""A source and sink for message queues: ``format("surgelight_queue")`` of ``readStream``, ``write`` and ``writeStream``.
 
-The queue is reached through a client, a class with ``__init__(options)``, ``latest() -> int`` and
-``fetch(start, end) -> iterable of bodies``, named by the option ``client`` as ``module:Class``. Offsets are message numbers.
-The client that comes with it, ``FolderClient``, replays the lines of the files of a folder in order of their names.
+The queue is reached through a client, a class with ``__init__(options)``, ``latest() -> int``,
+``fetch(start, end) -> iterable of bodies``, ``publish(name, bodies)`` and ``inspect() -> dict``, named by the option ``client`` as
+``module:Class``. Offsets are message numbers. The client that comes with it, ``FolderClient``, replays the lines of the
+files of a folder in order of their names, and publishes to a new file of it. Publishing the same task again replaces its
+messages, so that a repeated task sends nothing twice.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import importlib
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
 class FolderClient:
@@ -41,6 +43,26 @@ class FolderClient:
                 yield line
 
 
+    def publish(self, name: str, bodies: Iterator[str]) -> int:
+        os.makedirs(self.path, exist_ok=True)
+        beside = os.path.join(self.path, f".{name}")
+        n = 0
+        with open(beside, "w", encoding="utf-8") as f:
+            for body in bodies:
+                f.write(body + "\n")
+                n += 1
+        os.replace(beside, os.path.join(self.path, name))
+        return n
+
+    def inspect(self) -> dict:
+        return {"name": os.path.basename(self.path), "messages": self.latest()}
+
+
+def client_of(options: dict[str, str]):  # noqa: ANN201
+    module, _, name = options.get("client", "surgelight.sources.queue:FolderClient").partition(":")
+    return getattr(importlib.import_module(module), name)(options)
+
+
 class _Range(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
@@ -49,8 +71,7 @@ class _Range(InputPartition):
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
-        module, _, name = options.get("client", "surgelight.sources.queue:FolderClient").partition(":")
-        self.client = getattr(importlib.import_module(module), name)(options)
+        self.client = client_of(options)
         self.step = int(options.get("maxMessagesPerTrigger", 0))
         self.given = 0
 
@@ -77,6 +98,38 @@ class _Reader(DataSourceStreamReader):
         pass
 
 
+def _publish(options: dict[str, str], epoch: str, rows: Iterator) -> WriterCommitMessage:
+    from pyspark import TaskContext
+
+    client_of(options).publish(f"{options.get('prefix', 'part')}-{epoch}-{TaskContext.get().partitionId():06d}", (r["body"] for r in rows if r["body"] is not None))
+    return WriterCommitMessage()
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        return _publish(self.options, "batch", iterator)
+
+
+class _StreamWriter(DataSourceStreamWriter):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        epoch = TaskContext.get().getLocalProperty("streaming.sql.batchId") or "0"
+        return _publish(self.options, f"{int(epoch):09d}", iterator)
+
+    def commit(self, messages: list, batchId: int) -> None:  # noqa: N803
+        pass
+
+    def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
+        pass
+
+
 class QueueSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -87,3 +140,9 @@ class QueueSource(DataSource):
 
     def streamReader(self, schema):  # noqa: ANN001, ANN201, N802
         return _Reader(dict(self.options))
+
+    def writer(self, schema, overwrite):  # noqa: ANN001, ANN201
+        return _Writer(dict(self.options))
+
+    def streamWriter(self, schema, overwrite):  # noqa: ANN001, ANN201, N802
+        return _StreamWriter(dict(self.options))

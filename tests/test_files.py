@@ -62,12 +62,17 @@ def test_word_list_and_token_files(spark, tmp_path):
     df = spark.createDataFrame([(x,) for x in ["# comment", "test", "WORD", " mixedCase\t", "", "  ", "filtered", "test", None]], "line string")
     assert files.words_of(df) == ["filtered", "mixedcase", "test", "word"]
     assert files.words_of(df.limit(1)) == []
+    assert {r.word for r in files.changed_words(files.word_list(df), ["New", " "], ["TEST"]).collect()} == {"filtered", "mixedcase", "word", "new"}
+    assert files.first_messages(df.selectExpr("line AS body"), 2).count() == 2
     (tmp_path / "t.txt").write_text("a\n\n b \n" + "aVeryLongTokenWithCaseFlips\n")
     rows = files.inspect_tokens(files.read_token_files(spark, str(tmp_path / "t.txt")), 1).collect()
     assert {(r.token, r.odd) for r in rows} == {("a", False), ("aVeryLongTokenWithCaseFlips", True)}
 
 
 def test_file_names(spark):
+    dated = ["tweets_1201_1200.csv", "tweets_2359.csv", "tweets_0000.csv", "x_9999.csv"]
+    df = spark.createDataFrame([(n,) for n in dated], "path string")
+    assert [r.ms for r in df.select(files.start_millis(F.col("path")).alias("ms")).collect()] == [28900800000 + 0, 86340000, 0, None]
     names = ["d/feed.csv_1327796182986_1327796482986.csv", "tweets_20231201_120000.csv", "x_1701446400.csv", "none.csv", None]
     df = spark.createDataFrame([(n,) for n in names], "path string")
     got = {r.path: r.ms for r in df.select("path", files.start_millis(F.col("path")).alias("ms")).collect()}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from surgelight.config import Settings
 from surgelight.functions.text import tokens
 from surgelight.plans import pipeline
-from surgelight.sources.queue import QueueSource
+from surgelight.sources.queue import FolderClient, QueueSource
 from surgelight.sources.strict import load_strict
 from surgelight.streaming.engine import BusyStream
 
@@ -61,3 +61,16 @@ def test_before_the_first_rebuild(spark, tmp_path):
     stream.process(spark.createDataFrame([], "seq bigint, tokens array<string>"), 0)
     stream.process(spark.createDataFrame([(i, ["a"]) for i in range(25)], "seq bigint, tokens array<string>"), 1)
     assert stream.busy().count() == 0
+
+
+def test_publishing_to_a_queue(spark, tmp_path):
+    spark.dataSource.register(QueueSource)
+    df = spark.createDataFrame([(i, f"body {i}") for i in range(20)], "seq bigint, body string").repartition(3)
+    for _ in range(2):
+        df.write.format("surgelight_queue").option("path", str(tmp_path / "q")).mode("append").save()
+    assert FolderClient({"path": str(tmp_path / "q")}).inspect() == {"name": "q", "messages": 20}
+    source = spark.readStream.format("surgelight_queue").option("path", str(tmp_path / "q")).load()
+    query = source.writeStream.format("surgelight_queue").option("path", str(tmp_path / "copy")).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(FolderClient({"path": str(tmp_path / "copy")}).fetch(0, 99)) == sorted(f"body {i}" for i in range(20))
