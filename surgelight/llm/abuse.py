@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.llm.batches import by_size
 from surgelight.llm.lookalikes import consistent
 
 WORD_BITS, PAIR_BITS = 18, 20
@@ -306,11 +307,10 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     lean = Model(model.word.astype(np.float32), model.pair.astype(np.float32), model.bias, model.threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                raw = lean.scores(consistent(part.column(0))[0].to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(_sigmoid(raw - lean.threshold) if np.isfinite(lean.threshold) else np.zeros(len(raw))), pa.array(raw > lean.threshold)], names=[*part.schema.names[1:], "score", "abusive"])
+        for part in by_size(batches, 0, 2 << 20):
+            raw = lean.scores(consistent(part.column(0))[0].to_pylist())
+            score = _sigmoid(raw - lean.threshold) if np.isfinite(lean.threshold) else np.zeros(len(raw))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score), pa.array(raw > lean.threshold)], names=[*part.schema.names[1:], "score", "abusive"])
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in inner.schema.fields[1:]] + [T.StructField("score", T.DoubleType()), T.StructField("abusive", T.BooleanType())])
     return inner.mapInArrow(run, schema).toDF(*names, "score", "abusive")

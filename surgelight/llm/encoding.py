@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.llm.batches import by_size
+
 # Fixed value: the pre-token pattern of the public vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens longer than this are not kept for reuse.
@@ -119,20 +121,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Batches cut so that one piece holds about so many characters at most, or one text."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t or "") > chars:
-                yield ids.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t or "")
-        if start < len(texts):
-            yield ids.slice(start), texts[start:]
-
-
 def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(``id_col``, ``ids`` array of int) for every row of ``df``; strings that look like special tokens are ordinary text.
 
@@ -143,8 +131,9 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        for keys, texts in _slices(batches):
-            lists = code.encode(texts)
+        for part in by_size(batches, 1, 4 << 20):
+            keys = part.column(0)
+            lists = code.encode(part.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["i", "ids"])

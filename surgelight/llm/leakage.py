@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.llm.batches import by_size
 from surgelight.llm.lookalikes import consistent
 
 #: Words of a searched phrase.
@@ -321,10 +322,10 @@ def _searcher(items: Items, share: float):  # noqa: ANN202
                 )
 
         key_type = None
-        for batch in batches:
-            key_type = batch.schema[0].type
+        for part in by_size(batches, 1, 4 << 20):
+            key_type = part.schema[0].type
             numbers = items.numbers
-            for key, text in zip(batch.column(0).to_pylist(), consistent(batch.column(1))[0].to_pylist()):
+            for key, text in zip(part.column(0).to_pylist(), consistent(part.column(1))[0].to_pylist()):
                 words = words_of(text)
                 if not words:
                     continue

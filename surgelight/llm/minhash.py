@@ -26,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.llm.batches import by_size
 from surgelight.llm.lookalikes import consistent
 from surgelight.session import checkpointed, materialised, shuffle_partitions
 
 #: Records of one bucket that are compared in place; larger buckets are cut into blocks of this size.
 BLOCK = 2048
-#: Classes packed together.
-PACK = 1 << 15
+#: Classes packed together at most, and bytes of their words.
+PACK, PACK_BYTES = 1 << 15, 16 << 20
+#: Band hashes that one task brings together, about.
+TASK_HASHES = 1_500_000
 #: Sets with fewer words than this besides the stop words are banded on all their words; up to twice as many, on both.
 FEW = 5
 _ENTRY = np.dtype([("cls", "<i8"), ("bits", "<u8"), ("n", "<u2")])
@@ -57,9 +60,9 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
         import xxhash
 
         cut = regex.compile(r"[\p{L}\p{Nd}]+")
-        for batch in batches:
-            ids, kept, classes, sets = batch.column(0), [], [], []
-            for i, text in enumerate(consistent(batch.column(1))[0].to_pylist()):
+        for part in by_size(batches, 1, PACK_BYTES):
+            ids, kept, classes, sets = part.column(0), [], [], []
+            for i, text in enumerate(consistent(part.column(1))[0].to_pylist()):
                 words = set(cut.findall(text.lower())) if text else ()
                 if len(words) >= min_words:
                     joined = " ".join(sorted(words))
@@ -84,10 +87,9 @@ def stop_words(sets: DataFrame, share: float) -> list[str]:
     """Words in more than ``share`` of all sets. There are at most (mean size of a set / share) of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                words, codes, _ = _split(batch.column(0))
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["w", "n"])
+        for part in by_size(batches, 0, PACK_BYTES):
+            words, codes, _ = _split(part.column(0))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["w", "n"])
 
     counts = sets.select("words").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     return [r.w for r in counts.where(F.col("n") > share * sets.count()).select("w").collect()]
@@ -209,8 +211,9 @@ def _bucket_pairs(hashes: np.ndarray, entries: np.ndarray, threshold: float) ->
 def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float, stop_share: float) -> DataFrame:
     """Distinct (a, b), a < b: classes with a common band whose sizes and bitmaps allow the similarity."""
     spark = sets.sparkSession
-    parts = shuffle_partitions(spark)
-    signer = Signer(rows, bands_for(threshold, rows, recall), stop_words(sets, stop_share))
+    bands = bands_for(threshold, rows, recall)
+    parts = max(shuffle_partitions(spark), math.ceil(sets.count() * bands / TASK_HASHES))
+    signer = Signer(rows, bands, stop_words(sets, stop_share))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -231,12 +234,14 @@ def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float,
                 own = order[edges[p] : edges[p + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_pack(hashes[own], records[own], entries)], pa.binary())], names=["p", "packed"])
 
-        for batch in batches:
-            if len(batch):
-                held.append(batch)
-            if sum(map(len, held)) >= PACK:
+        size = 0
+        for part in by_size(batches, 1, PACK_BYTES):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("words"))).as_py()
+            if sum(map(len, held)) >= PACK or size >= PACK_BYTES:
                 yield from flush()
                 held.clear()
+                size = 0
         if held:
             yield from flush()
 
