@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from surgelight.operators import busy, frequency, order
 from surgelight.plans import pipeline
 from surgelight.plans.general import PARSED
 from surgelight.sources import files
-from surgelight.session import materialised
+from surgelight.session import materialised, shared_folder
+from surgelight.streaming.engine import BusyStream
 
 #: Settings of the queries: batches and windows of the size of the test tables.
 SETTINGS = Settings(batch=500, window=10_000, token_persist_files=10, rebuild_every_files=5)
@@ -251,6 +253,20 @@ def busy_words_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.busy_of_windows(_spread(_tweets(spark, sf_dir)), SETTINGS, _words(spark, sf_dir))
 
 
+def stream_busy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, through Structured Streaming over the files of the table."""
+    settings = dataclasses.replace(SETTINGS, state_dir=f"{shared_folder(spark)}/surgelight-stream-{uuid.uuid4().hex}")
+    raw = spark.readStream.schema(_tweets(spark, sf_dir).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/tweets.parquet*")
+    stream = BusyStream(spark, settings)
+    stream.start(raw.select("seq", text.tokens(F.col("text"), settings, _words(spark, sf_dir)).alias("tokens")), f"{settings.state_dir}/checkpoint").awaitTermination()
+    return stream.busy()
+
+
+def inspected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of tokens and all that are long and change between cases."""
+    return files.inspect_tokens(frequency.token_rows(_tweets(spark, sf_dir)))
+
+
 def busy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return busy.summary(busy_words(spark, sf_dir))
 
@@ -287,7 +303,7 @@ QUERIES = {
         text_fields, tweet_tokens, token_rejections, simple_tokens, word_list, without_listed_words, event_kinds, parsed_events, message_counts, message_tokens,
         file_order, three_part_keys, key_owners, token_counts, token_totals, saved_counts, moved_counts, frequency_classes, adaptive_classes, class_sizes, class_lookup,
         top_tokens, growth_curve, batches, token_files, recent_tweets, sliding_counts, coded_counts, window_classes, class_tokens, counters, counter_stats, hot_positions,
-        busy_words, busy_words_documents, busy_words_windows, busy_summary, busy_rows, busy_messages, busy_clusters,
+        busy_words, busy_words_documents, busy_words_windows, stream_busy_words, inspected_tokens, busy_summary, busy_rows, busy_messages, busy_clusters,
     )
 }
 
@@ -429,3 +445,6 @@ begins AS (SELECT batch, min(before) // 1000 AS first_file FROM sized WHERE batc
 plan AS (SELECT batch, max(rebuild) AS rebuild FROM begins JOIN marks ON rebuild <= first_file GROUP BY batch),
 {_busy("SELECT h.batch, class, token, h.n FROM hit h JOIN plan USING (batch) JOIN cls USING (rebuild, token)")} SELECT * FROM bw""",
 }
+ORACLES["stream_busy_words"] = ORACLES["busy_words_windows"]
+ORACLES["inspected_tokens"] = f"""WITH {_TWEET_TOKENS}, {_COUNTS}, o AS (SELECT token, n, length(token) > 20 AND regexp_matches(token, '[a-z][A-Z]|[A-Z][a-z].*[A-Z]') AS odd FROM cnt)
+SELECT * FROM o WHERE odd UNION ALL (SELECT * FROM o WHERE NOT odd ORDER BY token LIMIT 20)"""

@@ -9,7 +9,6 @@ micro-batch changes nothing. There is no event time: order is the order of arriv
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,26 +17,26 @@ from pyspark.sql.streaming import StreamingQuery
 from surgelight.config import Settings
 from surgelight.operators import busy, order
 from surgelight.operators.frequency import frequency_classes
-from surgelight.sinks.files import read_marker, write_marker
+from surgelight.sinks.shared import SharedFolder
 
 LOG = "seq bigint, ordinal bigint, tokens array<string>, before bigint, epoch bigint"
 
 
 class BusyStream:
-    """State under ``settings.state_dir``: ``messages`` (the log), ``busy`` (results), ``classes`` (by rebuild) and one marker for each epoch."""
+    """State under ``settings.state_dir``, a folder that all machines share: ``messages`` (the log), ``busy`` (results) and one marker for each epoch."""
 
     def __init__(self, spark: SparkSession, settings: Settings):
         self.spark, self.settings, self.dir = spark, settings, settings.state_dir
-        os.makedirs(f"{self.dir}/epochs", exist_ok=True)
+        self.folder = SharedFolder(spark, settings.state_dir)
 
     def _state(self, epoch: int) -> dict:
         """Messages, tokens and batches done after the last epoch before ``epoch``."""
-        done = [int(n) for n in os.listdir(f"{self.dir}/epochs") if n.isdigit() and int(n) < epoch]
-        marker = read_marker(f"{self.dir}/epochs/{max(done)}") if done else None
+        done = [int(n) for n in self.folder.names("epochs") if n.isdigit() and int(n) < epoch]
+        marker = self.folder.read(f"epochs/{max(done)}") if done else None
         return json.loads(marker) if marker else {"messages": 0, "tokens": 0, "batches": 0}
 
     def log(self, up_to: int) -> DataFrame:
-        if not os.path.isdir(f"{self.dir}/messages"):
+        if not self.folder.exists("messages"):
             return self.spark.createDataFrame([], LOG)
         rows = self.spark.read.schema(LOG).parquet(f"{self.dir}/messages").where(F.col("epoch") <= up_to)
         return rows.withColumn("batch", F.floor((F.col("ordinal") - 1) / self.settings.batch))
@@ -56,7 +55,7 @@ class BusyStream:
         if after["batches"] > state["batches"]:
             found = self.results(epoch, state["batches"], after["batches"], after["tokens"])
             found.write.mode("overwrite").parquet(f"{self.dir}/busy/epoch={epoch}")
-        write_marker(f"{self.dir}/epochs/{epoch}", json.dumps(after))
+        self.folder.write(f"epochs/{epoch}", json.dumps(after))
 
     def results(self, epoch: int, first: int, end: int, tokens: int) -> DataFrame:
         """(batch, class, token) of batches ``first`` to ``end`` - 1."""
@@ -72,7 +71,7 @@ class BusyStream:
 
     def busy(self) -> DataFrame:
         """All results so far."""
-        if not os.path.isdir(f"{self.dir}/busy"):
+        if not self.folder.exists("busy"):
             return self.spark.createDataFrame([], "batch bigint, class int, token string")
         return self.spark.read.parquet(f"{self.dir}/busy").select("batch", "class", "token")
 
