@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.session import map_arrow
+
 #: Digits that fit the 64-bit form; a leading 1 keeps leading zeros apart.
 FIXED_DIGITS = 18
 _SPREAD = 1 << 20
@@ -159,10 +161,10 @@ def mark_repeats(df: DataFrame, id_col: str = "id_str", order_col: str = "seq",
     order = [F.col(at[order_col]).asc_nulls_last()]
     keyed = keyed.withColumns({"_s": F.pmod(F.coalesce(F.xxhash64("_k", "_w"), F.lit(0)), F.lit(_SPREAD)).cast("int"), "_d": F.lit(False)})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in keyed.schema])
-    local = keyed.sortWithinPartitions(*order).mapInArrow(_settle_locally, schema)
+    local = map_arrow(keyed.sortWithinPartitions(*order), _settle_locally, schema)
     if only_first:
         local = local.where(~F.col("_d"))
-    done = local.repartition("_s").sortWithinPartitions(*order).mapInArrow(_settle_shard, schema)
+    done = map_arrow(local.repartition("_s").sortWithinPartitions(*order), _settle_shard, schema)
     return done.select(*(F.col(i).alias(n) for n, i in at.items()), F.col("_d").alias("is_repeat"))
 
 

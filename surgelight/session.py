@@ -1,12 +1,20 @@
-"""Session settings and the two helpers that cut lineage."""
+"""Session settings, the helpers that cut lineage, and the shipping of this package to the executors."""
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "surgelight", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,3 +65,32 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once for each application: as an archive in the shared folder that Spark hands out."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(f"{root.name}/{path.relative_to(root).as_posix()}"), path.read_bytes())
+    data = packed.getvalue()
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/surgelight-{hashlib.sha256(data).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip")
+    fs = target.getFileSystem(context._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    fs.deleteOnExit(target)
+    context.addPyFile(fs.makeQualified(target).toString())
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with this package shipped first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

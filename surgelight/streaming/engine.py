@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from surgelight.config import Settings
 from surgelight.operators import busy, order
 from surgelight.operators.frequency import frequency_classes
+from surgelight.session import ship
 from surgelight.sinks.shared import SharedFolder
 
 LOG = "seq bigint, ordinal bigint, tokens array<string>, before bigint, epoch bigint"
@@ -26,6 +27,7 @@ class BusyStream:
     """State under ``settings.state_dir``, a folder that all machines share: ``messages`` (the log), ``busy`` (results) and one marker for each epoch."""
 
     def __init__(self, spark: SparkSession, settings: Settings):
+        ship(spark)  # for sources in Python
         self.spark, self.settings, self.dir = spark, settings, settings.state_dir
         self.folder = SharedFolder(spark, settings.state_dir)
 
