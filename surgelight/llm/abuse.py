@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from surgelight.llm.batches import by_size
 from surgelight.llm.lookalikes import consistent
+from surgelight.session import map_arrow
 
 WORD_BITS, PAIR_BITS = 18, 20
 _CUT = regex.compile(r"(?<=[.!?。！？…])[\"”’)]*\s+|[\n\r]+|(?<=[。！？])|\s[/|]\s")
@@ -313,7 +314,7 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score), pa.array(raw > lean.threshold)], names=[*part.schema.names[1:], "score", "abusive"])
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in inner.schema.fields[1:]] + [T.StructField("score", T.DoubleType()), T.StructField("abusive", T.BooleanType())])
-    return inner.mapInArrow(run, schema).toDF(*names, "score", "abusive")
+    return map_arrow(inner, run, schema).toDF(*names, "score", "abusive")
 
 
 def rates(scores: DataFrame, source_col: str = "source") -> DataFrame:

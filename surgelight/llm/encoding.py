@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surgelight.llm.batches import by_size
+from surgelight.session import map_arrow, ship
 
 # Fixed value: the pre-token pattern of the public vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,12 +141,13 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     lean = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     schema = T.StructType([T.StructField("i", lean.schema["i"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return lean.mapInArrow(run, schema).select(F.col("i").alias(id_col), "ids")
+    return map_arrow(lean, run, schema).select(F.col("i").alias(id_col), "ids")
 
 
 def decoded(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """``df`` with a column ``text`` decoded from ``ids_col``; null ids give a null text."""
     path = vocabulary or default_vocabulary()
+    ship(df.sparkSession)
 
     @F.pandas_udf("string")
     def decode(ids):  # noqa: ANN001, ANN202

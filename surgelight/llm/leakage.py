@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from surgelight.llm.batches import by_size
 from surgelight.llm.lookalikes import consistent
+from surgelight.session import map_arrow
 
 #: Words of a searched phrase.
 PHRASE = 3
@@ -296,7 +297,7 @@ def leaks(df: DataFrame, eval_items: DataFrame, id_col: str = "doc_id", text_col
     schema = T.StructType([T.StructField("i", key), T.StructField("item", item_kind), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = None
     for at in range(0, max(1, len(rows)), BLOCK_ITEMS):
-        part = lean.mapInArrow(_searcher(Items.of(rows[at : at + BLOCK_ITEMS]), share), schema)
+        part = map_arrow(lean, _searcher(Items.of(rows[at : at + BLOCK_ITEMS]), share), schema)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("i").alias(id_col), F.col("item").alias(item_col), "start", "end")
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.session import map_arrow
+
 # Letters of other alphabets and the Latin letters they look like.
 LOOKALIKES = (
     ("аԁеѐёһіїјкӏмоорԛѕтухѵԝс", "adeèëhiïjklmoopqstyxvwc"),
@@ -217,7 +219,7 @@ def with_consistent_form(df: DataFrame, text_col: str = "text", token_col: str |
                 columns[token_at] = consistent_lists(columns[token_at])[0].cast(batch.schema[token_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return inner.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in inner.schema])).toDF(*names)
+    return map_arrow(inner, run, T.StructType([T.StructField(f.name, f.dataType, True) for f in inner.schema])).toDF(*names)
 
 
 def odd_characters(df: DataFrame, id_col: str = "seq", text_col: str = "text", token_col: str = "tokens") -> DataFrame:
@@ -235,5 +237,5 @@ def odd_characters(df: DataFrame, id_col: str = "seq", text_col: str = "text", t
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array([field] * len(rows), pa.string())], names=["i", "f"])
 
     kind = lean.schema["i"].dataType
-    out = lean.mapInArrow(run, T.StructType([T.StructField("i", kind, True), T.StructField("f", T.StringType(), True)]))
+    out = map_arrow(lean, run, T.StructType([T.StructField("i", kind, True), T.StructField("f", T.StringType(), True)]))
     return out.select(F.col("i").alias(id_col), F.col("f").alias("field"))

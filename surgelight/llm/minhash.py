@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from surgelight.llm.batches import by_size
 from surgelight.llm.lookalikes import consistent
-from surgelight.session import checkpointed, materialised, shuffle_partitions
+from surgelight.session import checkpointed, map_arrow, materialised, shuffle_partitions
 
 #: Records of one bucket that are compared in place; larger buckets are cut into blocks of this size.
 BLOCK = 2048
@@ -72,7 +72,7 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept, pa.int64())), pa.array(classes, pa.int64()), pa.array(sets, pa.string())], names=["id", "cls", "words"])
 
     schema = T.StructType([T.StructField("id", lean.schema["id"].dataType), T.StructField("cls", T.LongType()), T.StructField("words", T.StringType())])
-    return lean.mapInArrow(run, schema)
+    return map_arrow(lean, run, schema)
 
 
 def _split(sets: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def stop_words(sets: DataFrame, share: float) -> list[str]:
             words, codes, _ = _split(part.column(0))
             yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["w", "n"])
 
-    counts = sets.select("words").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = map_arrow(sets.select("words"), run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     return [r.w for r in counts.where(F.col("n") > share * sets.count()).select("w").collect()]
 
 
@@ -275,10 +275,10 @@ def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float,
                 for one, two in _block_pairs(block, None if y is None else np.frombuffer(y, _ENTRY), threshold):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
-    packed = sets.select("cls", "words").mapInArrow(sign, "p int, packed binary").repartitionById(parts, "p")
-    met = packed.select("packed").mapInArrow(meet, "a bigint, b bigint, l binary, r binary")
+    packed = map_arrow(sets.select("cls", "words"), sign, "p int, packed binary").repartitionById(parts, "p")
+    met = map_arrow(packed.select("packed"), meet, "a bigint, b bigint, l binary, r binary")
     spread = met.repartition(parts, F.when(F.col("a").isNotNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("l", "r")))
-    return spread.mapInArrow(finish, "a bigint, b bigint").distinct()
+    return map_arrow(spread, finish, "a bigint, b bigint").distinct()
 
 
 def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:

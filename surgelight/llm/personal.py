@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.session import map_arrow
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"<{k.upper()}>" for k in KINDS}
 
@@ -591,7 +593,7 @@ def personal_data(df: DataFrame, names: NameList, id_col: str = "seq", text_col:
 
     lean = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     schema = T.StructType([T.StructField("i", lean.schema["i"].dataType), T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("value", T.StringType())])
-    return lean.mapInArrow(run, schema).select(F.col("i").alias(id_col), "kind", "start", "length", "value")
+    return map_arrow(lean, run, schema).select(F.col("i").alias(id_col), "kind", "start", "length", "value")
 
 
 def replaced(text: str, segments: list[Segment]) -> str:
@@ -621,4 +623,4 @@ def with_placeholders(df: DataFrame, names: NameList, text_col: str = "text") ->
             out[at] = pa.array(new, batch.schema[at].type)
             yield pa.RecordBatch.from_arrays(out, schema=batch.schema)
 
-    return inner.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in inner.schema])).toDF(*columns)
+    return map_arrow(inner, run, T.StructType([T.StructField(f.name, f.dataType, True) for f in inner.schema])).toDF(*columns)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surgelight.session import map_arrow
+
 CHUNK = 1 << 16
 #: A sorted list of 16-bit numbers is smaller than the bitmap up to so many records.
 SPARSE = 4096
@@ -127,7 +129,7 @@ def term_bitmaps(df: DataFrame, terms_col: str = "tokens") -> DataFrame:
     schema = T.StructType(
         [T.StructField("term", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("records", T.BinaryType()), T.StructField("dense", T.BooleanType()), T.StructField("occurrences", T.LongType())]
     )
-    return df.select(F.col(f"`{terms_col}`").alias("t")).mapInArrow(_build, schema).where("term <> ''")
+    return map_arrow(df.select(F.col(f"`{terms_col}`").alias("t")), _build, schema).where("term <> ''")
 
 
 def term_frequencies(df: DataFrame, terms_col: str = "tokens") -> DataFrame:
