@@ -90,7 +90,23 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_replaced, p2_found, p2_form, p3_
 _COUNTS = """
 t AS (SELECT seq, unnest(tokens) AS term FROM tweets),
 c AS (SELECT term, count(*) AS occurrences, count(DISTINCT seq) AS records FROM t WHERE term IS NOT NULL AND term <> '' GROUP BY term)"""
+# What the transducer counts as a case, as patterns: forms of ASCII characters, invisible characters, odd spaces, emoji with what
+# may follow them, and other alphabets.
+_FORMS = r"\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}\x{2102}\x{210A}-\x{2113}\x{2115}\x{2119}-\x{211D}\x{2124}\x{2128}\x{212C}\x{212D}\x{212F}-\x{2131}\x{2133}\x{2134}\x{2145}-\x{2149}"
+_HIDDEN = r"\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}"
+_SPACES = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+_EMOJI = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}][\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
+_WORD = rf"[\p{{L}}\p{{M}}\p{{Nd}}{_FORMS}{_HIDDEN}]*"
+_OTHER = lookalikes.OTHER_ALPHABET
+
+
+def _odd(c: str) -> str:
+    return f"""(regexp_matches({c}, '[{_FORMS}{_SPACES}]') OR nfc_normalize({c}) <> {c} OR regexp_matches(regexp_replace({c}, '{_EMOJI}(\\x{{200D}}{_EMOJI})+', '', 'g'), '[{_HIDDEN}]')
+  OR regexp_matches({c}, '[\\p{{Latin}}{_FORMS}]{_WORD}[{_OTHER}]|[{_OTHER}]{_WORD}[\\p{{Latin}}{_FORMS}]'))"""
+
+
 ORACLES = {
+    "p2_found": f"SELECT seq, 'text' AS field FROM tweets WHERE {_odd('text')} UNION ALL SELECT seq, 'tokens' FROM tweets WHERE len(list_filter(tokens, lambda w: {_odd('w')})) > 0",
     "p3_found": f"WITH {_COUNTS} SELECT term AS token, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE records < 3 OR records > 5e-2 * (SELECT count(*) FROM tweets)",
     "p3_frequencies": f"WITH {_COUNTS} SELECT * FROM c",
 }
