@@ -2,8 +2,8 @@
 
 1. One text per identifier, in the consistent form, becomes its sorted set of distinct words; sets of equal words are one
    class, known by a 64-bit fingerprint. The table (id, class, words) is written once to the shared folder.
-2. Words that more than ``stop_share`` of all texts have say little about which texts belong together; banding leaves
-   them out (verification does not). A set with few other words is banded on all its words too.
+2. Every set is banded on all its words, so whether a pair is found depends on nothing but the two sets. Words that most
+   texts have fill the buckets with pairs that step 4 rules out.
 3. Each task signs its classes once and packs, for every target partition, the band hashes (sorted) and the class,
    size and word bitmap of the records behind them into one binary row. The shuffle carries these rows.
 4. A partition sorts its band hashes; records of equal hash are compared if their sizes and bitmaps allow the
@@ -36,9 +36,9 @@ BLOCK = 2048
 PACK, PACK_BYTES = 1 << 15, 16 << 20
 #: Band hashes that one task brings together, about.
 TASK_HASHES = 1_500_000
-#: Sets with fewer words than this besides the stop words are banded on all their words; up to twice as many, on both.
-FEW = 5
 _ENTRY = np.dtype([("cls", "<i8"), ("bits", "<u8"), ("n", "<u2")])
+#: What is sent: an entry with 64 more bits of the bitmap.
+_SENT = np.dtype([*_ENTRY.descr, ("more", "<u8")])
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -83,27 +83,14 @@ def _split(sets: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def stop_words(sets: DataFrame, share: float) -> list[str]:
-    """Words in more than ``share`` of all sets. There are at most (mean size of a set / share) of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_size(batches, 0, PACK_BYTES):
-            words, codes, _ = _split(part.column(0))
-            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)), pa.int64())], names=["w", "n"])
-
-    counts = map_arrow(sets.select("words"), run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in counts.where(F.col("n") > share * sets.count()).select("w").collect()]
-
-
 class Signer:
     """Band hashes of word sets."""
 
-    def __init__(self, rows: int, bands: int, stop: list[str], seed: int = 20250303):
+    def __init__(self, rows: int, bands: int, seed: int = 20250303):
         rng = np.random.default_rng(seed)
         self.rows, self.bands = rows, bands
         self.a = rng.integers(1, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
-        self.stop = pa.array(stop, pa.string())
 
     def keys(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """[bands, sets] 64-bit keys; no set may be empty."""
@@ -119,25 +106,16 @@ class Signer:
                 out[band] = key
         return out
 
-    def sign(self, sets: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, set) of every band, and the bitmap and size of each set."""
+    def sign(self, sets: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, set) of every band, and the two halves of the bitmap and the size of each set."""
         words, codes, edges = _split(sets)
         hashes = _hash_words(words)
         sizes = np.diff(edges)
-        bit = np.uint64(1) << (hashes >> np.uint64(58))
-        bits = np.bitwise_or.reduceat(bit[codes], edges[:-1])
-        common = pc.is_in(words, value_set=self.stop).to_numpy(zero_copy_only=False)[codes]
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        other = np.bincount(owner[~common], minlength=len(sets))
-        found_keys, found_sets = [], []
-        for take, occurrences in ((other >= FEW, ~common), (other < 2 * FEW, np.ones(len(codes), bool))):
-            use = occurrences & take[owner]
-            if use.any():
-                who, start = np.unique(owner[use], return_index=True)
-                keys = self.keys(hashes, codes[use], start)
-                found_keys.append(keys.ravel())
-                found_sets.append(np.tile(who, self.bands))
-        return np.concatenate(found_keys), np.concatenate(found_sets), bits, sizes
+        place = hashes >> np.uint64(57)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        halves = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0))[codes], edges[:-1]) for half in (0, 1)]
+        keys = self.keys(hashes, codes, edges[:-1])
+        return keys.ravel(), np.tile(np.arange(len(sets)), self.bands), *halves, sizes
 
 
 def _pack(hashes: np.ndarray, records: np.ndarray, entries: np.ndarray) -> bytes:
@@ -148,19 +126,22 @@ def _pack(hashes: np.ndarray, records: np.ndarray, entries: np.ndarray) -> bytes
     return pa.compress(body, codec="zstd", asbytes=True) + np.array([len(body)], "<u4").tobytes()
 
 
-def _unpack(row: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(row: bytes, kind: np.dtype = _ENTRY) -> tuple[np.ndarray, np.ndarray]:
     body = pa.decompress(row[:-4], decompressed_size=int(np.frombuffer(row[-4:], "<u4")[0]), codec="zstd", asbytes=True)
     n, used = np.frombuffer(body[:8], "<u4").astype(int)
     hashes = np.cumsum(np.frombuffer(body, "<u4", n, 8), dtype=np.uint32)
     index = np.frombuffer(body, "<u2", n, 8 + 4 * n)
-    return hashes, np.frombuffer(body, _ENTRY, used, 8 + 6 * n)[index]
+    return hashes, np.frombuffer(body, kind, used, 8 + 6 * n)[index]
 
 
 def _may_match(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """False only where the sets cannot reach the threshold: sizes too far apart, or too many differing bits."""
     na, nb = a["n"].astype(np.float32), b["n"].astype(np.float32)
     unlike = (1 - threshold) / (1 + threshold) * (na + nb) + 1e-3
-    return (a["cls"] != b["cls"]) & (np.abs(na - nb) <= unlike) & (np.bitwise_count(a["bits"] ^ b["bits"]) <= unlike)
+    bits = np.bitwise_count(a["bits"] ^ b["bits"])
+    if "more" in a.dtype.names:
+        bits += np.bitwise_count(a["more"] ^ b["more"])
+    return (a["cls"] != b["cls"]) & (np.abs(na - nb) <= unlike) & (bits <= unlike)
 
 
 def _block_pairs(left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -208,12 +189,12 @@ def _bucket_pairs(hashes: np.ndarray, entries: np.ndarray, threshold: float) ->
                 yield left.tobytes(), right.tobytes()
 
 
-def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float, stop_share: float) -> DataFrame:
+def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float) -> DataFrame:
     """Distinct (a, b), a < b: classes with a common band whose sizes and bitmaps allow the similarity."""
     spark = sets.sparkSession
     bands = bands_for(threshold, rows, recall)
     parts = max(shuffle_partitions(spark), math.ceil(sets.count() * bands / TASK_HASHES))
-    signer = Signer(rows, bands, stop_words(sets, stop_share))
+    signer = Signer(rows, bands)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -223,9 +204,9 @@ def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float,
             classes = together.column("cls").combine_chunks().to_numpy(zero_copy_only=False)
             classes, first = np.unique(classes, return_index=True)
             words = pa.chunked_array(together.column("words").chunks).combine_chunks().cast(pa.large_string()).take(pa.array(first))
-            keys, records, bits, sizes = signer.sign(words.cast(pa.string()))
-            entries = np.empty(len(classes), _ENTRY)
-            entries["cls"], entries["bits"], entries["n"] = classes, bits, np.minimum(sizes, 65535)
+            keys, records, bits, more, sizes = signer.sign(words.cast(pa.string()))
+            entries = np.empty(len(classes), _SENT)
+            entries["cls"], entries["bits"], entries["more"], entries["n"] = classes, bits, more, np.minimum(sizes, 65535)
             target = (keys % np.uint64(parts)).astype(np.int64)
             hashes = (keys >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(target, kind="stable")
@@ -246,7 +227,7 @@ def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float,
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = [_unpack(x) for batch in batches for x in batch.column("packed").to_pylist()]
+        packs = [_unpack(x, _SENT) for batch in batches for x in batch.column("packed").to_pylist()]
         if not packs:
             return
         hashes, entries = np.concatenate([h for h, _ in packs]), np.concatenate([e for _, e in packs])
@@ -271,8 +252,8 @@ def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float,
             plain = a.is_valid()
             yield pa.RecordBatch.from_arrays([a.filter(plain), b.filter(plain)], names=["a", "b"])
             for x, y in zip(left.drop_null().to_pylist(), right.filter(pc.invert(plain)).to_pylist()):
-                block = np.frombuffer(x, _ENTRY)
-                for one, two in _block_pairs(block, None if y is None else np.frombuffer(y, _ENTRY), threshold):
+                block = np.frombuffer(x, _SENT)
+                for one, two in _block_pairs(block, None if y is None else np.frombuffer(y, _SENT), threshold):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
     packed = map_arrow(sets.select("cls", "words"), sign, "p int, packed binary").repartitionById(parts, "p")
@@ -288,9 +269,9 @@ def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), none, none], names=["a", "b", "l", "r"])
 
 
-def similar_classes(sets: DataFrame, threshold: float, rows: int, recall: float, stop_share: float) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float, rows: int, recall: float) -> DataFrame:
     """(a, b), a < b: pairs of classes whose full sets reach the threshold."""
-    pairs = candidate_pairs(sets, threshold, rows, recall, stop_share)
+    pairs = candidate_pairs(sets, threshold, rows, recall)
     one = sets.select("cls", "words").dropDuplicates(["cls"])
     left = pairs.join(one.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a")
     both = left.join(one.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
@@ -299,7 +280,7 @@ def similar_classes(sets: DataFrame, threshold: float, rows: int, recall: float,
     return both.where(common >= F.lit(threshold) * (F.size(x) + F.size(y) - common)).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str, min_words: int = 10, threshold: float = 0.6, rows: int = 4, recall: float = 0.99, stop_share: float = 0.02) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str, min_words: int = 10, threshold: float = 0.6, rows: int = 4, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members`` (id, cls) of every record with ``min_words`` distinct words, ``links`` (a, b) between classes.
 
     Records of one identifier count once, with the text of lowest ``order_col``. Null identifiers, null or short texts
@@ -308,7 +289,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, order_col: str, m
     keyed = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(order_col).alias("o")).where("id IS NOT NULL")
     single = keyed.groupBy("id").agg(F.min_by("text", F.struct(F.col("o").isNull(), "o", "text")).alias("text"))
     sets = materialised(word_sets(single, "id", "text", min_words), "sets")
-    return sets.select("id", "cls"), similar_classes(sets, threshold, rows, recall, stop_share)
+    return sets.select("id", "cls"), similar_classes(sets, threshold, rows, recall)
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", order_col: str = "seq", **options: float) -> DataFrame:

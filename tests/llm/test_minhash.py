@@ -54,6 +54,23 @@ def test_a_hot_group_of_copies_and_near_copies(spark, monkeypatch):
     assert got == brute(rows) and len(got) == 90 * 89 // 2
 
 
+@pytest.mark.parametrize(("base", "own"), [(20, 10), (30, 10), (18, 10)])
+def test_a_hot_group_whose_copies_have_many_own_words(spark, base, own):
+    """Every word of the base is in most texts; the pairs are just at the threshold on their full sets."""
+    common = [f"word{i}" for i in range(base)]
+    extra = lambda i, n: [f"own{i}x{k}" for k in range(n)]
+    if base == 30:  # two copies with own words each: 30 / 50
+        sets = [common + extra(i, own) for i in range(60)]
+    elif base == 20:  # the base itself and copies with insertions: 20 / 30
+        sets = [common] + [common + extra(i, own) for i in range(1, 60)]
+    else:  # some copies that lost most of another's own words: 22 / 28
+        sets = [common + extra(i, own) for i in range(200)] + [common + extra(i, 4) for i in range(30)]
+    rows = [(i, " ".join(words), i) for i, words in enumerate(sets)]
+    got = {(r.id_a, r.id_b) for r in m.near_duplicate_pairs(spark.createDataFrame(rows, "id bigint, text string, seq bigint")).collect()}
+    want = brute(rows)
+    assert got <= want and len(want) >= 59 and len(got) >= 0.97 * len(want)
+
+
 def test_groups(spark):
     base = [f"a{i}" for i in range(20)]
     chain = [base, base[3:] + ["x1", "x2", "x3"], base[6:] + ["x1", "x2", "x3", "y1", "y2", "y3"]]
