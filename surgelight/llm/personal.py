@@ -17,7 +17,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 from surgelight.session import map_arrow
 
+#: Words whose likeness to a name is kept at most.
+SEEN_WORDS = 1 << 16
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"<{k.upper()}>" for k in KINDS}
 
@@ -77,6 +79,7 @@ _LEFT = r"(?<![\w@.+#/=-])"
 _EMAIL = re.compile(rf"(?<![\w@.+#=-])(\w[\w.%+-]{{0,63}})({_AT})({_LABEL}(?:{_DOT}{_LABEL}){{1,6}})", re.I)
 _RUN = re.compile(r"(?<![\w@#=/.-])(?:\+|\()?\d[\d()]*(?:(?:[ \u00a0./-]|\) |\)-| \(| x|,? ?ext\.? ?)[\d()]+){0,9}(?![\w@])", re.I)
 _NUM = re.compile(r"\d+")
+_DIGIT = re.compile(r"\d")
 _ID = {k: re.compile(rf"(?<![\w@#=/.-]){v}(?![\w@])(?!-\w)(?!\.\d)", re.I) for k, v in _ID_FORMS.items()}
 _ADDRESS = {
     "en": re.compile(rf"(?:(?:flat|apt\.?|unit|suite) \d+[a-z]?,? )?(?<![\w@#=/.:-])\d{{1,5}}[a-z]?,? (?:[nsew]\.? )?(?:{_W} ){{1,3}}(?:{_STREET.replace(' ', '|')})\b(?:\.?,? (?:apt|flat|unit|suite)\.? \d+[a-z]?)?", re.I),
@@ -98,6 +101,7 @@ class NameList:
     family: frozenset[str]
     stems: frozenset[str] = field(default=frozenset())
     endings: frozenset[str] = field(default=frozenset())
+    seen: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def of(cls, pairs: list[tuple[str | None, str | None]]) -> NameList:
@@ -114,8 +118,13 @@ class NameList:
     def family_like(self, word: str) -> float:
         """1 if listed and composed of parts that other names have, 0.7 if only composed so, 0.4 if only listed (some
         entries of the list are ordinary words); of a double name the less likely half counts."""
+        if word in self.seen:
+            return self.seen[word]
+        if len(self.seen) >= SEEN_WORDS:
+            self.seen.clear()
         parts = re.split(r"[-'’]", word.lower()) if "-" in word else [word.lower()]
-        return min((0.7 + 0.3 * (p in self.family) if self.composed(p) else 0.4 * (p in self.family)) for p in parts)
+        self.seen[word] = min((0.7 + 0.3 * (p in self.family) if self.composed(p) else 0.4 * (p in self.family)) for p in parts)
+        return self.seen[word]
 
 
 @dataclass
@@ -273,7 +282,8 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
         """Not part of a handle, link, tag or e-mail address."""
         return not (re.search(r"[@#/_=+&]\Z|\w[.'’-]\Z", text[:a][-2:]) or re.match(r"[@_/+=]|[.-]\w|\d", text[b : b + 2]))
 
-    for m in _TITLE.finditer(text):
+    titled = not text.isascii() or any(p in _TITLE_SET for _, _, w in words for p in re.split("[-']", w.lower()))
+    for m in _TITLE.finditer(text) if titled else ():
         if not outside(m.start(), m.end()):
             continue
         word = m[2]
@@ -290,6 +300,8 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
         for j in (i + 1, i + 2):
             if j >= len(words):
                 continue
+            if like[i] < 0.7 and like[j] < 0.7 and words[i][2].lower() not in names.given and words[j][2].lower() not in names.given:
+                continue
             gap = text[words[i][1] : words[j][0]]
             if not _PAIR_GAP.match(gap) or (j == i + 2 and len(words[i + 1][2]) != 1):
                 continue
@@ -323,10 +335,10 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
 
 
 def candidates(text: str, names: NameList) -> list[Segment]:
-    found = [*_addresses(text), *_names(text, names)]
+    found = [*(_addresses(text) if _DIGIT.search(text) else ()), *_names(text, names)]
     if re.search(r"(?i)@|\bat\b", text):
         found += _emails(text)
-    if re.search(r"\d[\d ().,/a-z-]{3,}\d|\d{5}", text, re.I):
+    if re.search(r"\d[\d \u00a0().,/a-z-]{3,}\d|\d{5}", text, re.I):
         found += [*_phones(text), *_ids(text)]
     return found
 
@@ -553,15 +565,30 @@ def find(text: str, names: NameList, model: SemiMarkov) -> list[Segment]:
     return model.decode(candidates(text, names))
 
 
+def _ranges(is_one: Callable[[str], bool]) -> str:
+    """The characters for which ``is_one`` holds, as ranges for a class of any pattern language."""
+    points = [c for c in range(0x110000) if is_one(chr(c))]
+    starts = [c for c in points if not is_one(chr(c - 1))] if points else []
+    ends = [c for c in points if not is_one(chr(c + 1))]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
 def suspicious(names: NameList) -> str:
-    """A pattern (RE2) that every text with a candidate worth decoding matches: digits, an address sign, a title, or a name's ending or given name."""
+    """A pattern (RE2) that every text with a candidate matches. Each part is what all patterns of a type require:
+
+    address, phone, id_number: a digit. email: an @, or the word "at", a label and a dot, also as a word. name: a title, a
+    listed given name with a capital, or a word with a listed ending. RE2 knows word edges of ASCII letters only, so edges
+    are asked for only there; texts with one of the four letters that Python alone takes for ASCII ones are all let through.
+    """
+    space = _ranges(str.isspace)
+    label = rf"[^!-,./:-@\[-^`{{-~{space}]"
+    edge = lambda c: r"\b" if c.isascii() and c.isalpha() else ""
     endings = [e for e in names.endings if not any(e != f and e.endswith(f) for f in names.endings)]
-    whole = sorted(n for n in names.family | names.given if n)
-    parts = [r"\d{4}|\d[^\pL]{1,3}\d{2,}|\d+[a-zA-Z]? +\pL", r"@|[\[({<] ?at ?[\])}>]|\bdot\b", r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer|damm) \d", r"(?i:calle|avenida|plaza|paseo|via|piazza|rue|box|postfach)[^\d]{1,40}\d", rf"\b(?i:{TITLES.replace(' ', '|')})\b\.?\s"]
-    if endings:
-        parts.append(rf"(?i:\pL{{2}}(?:{'|'.join(sorted(map(re.escape, endings)))}))\b")
-    if whole:
-        parts.append(rf"\b(?i:{'|'.join(map(re.escape, whole))})\b")
+    parts = [rf"[{_ranges(str.isdecimal)}]", "@", rf"(?i:\bat\b[\])}}>{space}]+{label}+(?:\.{label}|[\[({{{space}]+dot\b))", rf"\b(?i:{TITLES.replace(' ', '|')})\b(?:[.\s]|[^\x00-\x7f])", "[ſKıİ]"]
+    parts += [rf"(?:\pL|['’])(?:\pL|['’])(?i:{re.escape(e)}){edge(e[-1])}" for e in sorted(endings)]
+    for n in sorted(filter(None, names.given)):
+        first = re.escape(n[0].upper()) if n[0].isascii() else rf"(?i:{re.escape(n[0])})"
+        parts.append(rf"{r'(?:\b|\d)' if edge(n[0]) else ''}{first}(?i:{re.escape(n[1:])}){edge(n[-1])}")
     return "|".join(f"(?:{p})" for p in parts)
 
 

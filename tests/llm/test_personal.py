@@ -111,6 +111,24 @@ def test_every_finding_passes_the_first_look(names, model):
         assert look.search(text), text
 
 
+OTHER_FORMS = [
+    "write to jane.roe at mail.example", "JANE [AT] MAIL [DOT] EXAMPLE", "JANE AT MAIL DOT EXAMPLE", "jane at  élan dot example", "parcel went to 12, rue Brexil", "party is at 5, Brexil Street",
+    "HAUPTSTRASSE 12", "c/ Brex 12", "corso Brex 12", "apartado 123", "tax id RSSBRX85T10A562S", "tel 06\u00a012\u00a034\u00a056\u00a078", "tel ٠٦١٢٣٤٥٦٧٨", "3Will Brexil", "Dr.\u00a0Haskucci", "ſr. Haskucci", "Haskucci, Petra",
+]
+
+
+def test_every_text_with_a_candidate_passes_the_first_look(names, model):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = [*FOUND, *CLEAN, *OTHER_FORMS, *(t for t, _ in p.corpus(names, 3000, 5))]
+    texts += [t.upper() for t in texts] + [t.lower() for t in texts] + [t.replace(" ", "\u00a0") for t in texts]
+    passed = pc.match_substring_regex(pa.array(texts), p.suspicious(names)).to_pylist()
+    assert [t for t, yes in zip(texts, passed) if not yes and p.candidates(t, names)] == []
+    assert all(p.candidates(t, names) for t in OTHER_FORMS)
+    assert not all(passed)
+
+
 def test_operators(spark, names):
     rows = [(1, "ring 555-0145 now", 5), (1, "ring 555-0145 now", 5), (2, None, 5), (3, "", 5), (4, "word " * 60_000 + "email: a.b@c.example", 5), (None, "nothing", None)]
     df = spark.createDataFrame(rows, "seq bigint, text string, kind int")
