@@ -77,7 +77,7 @@ _DOT = r"(?:\.| ?[\[({] ?dot ?[\])}] ?|\s+dot\s+)"
 _LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?"
 _LEFT = r"(?<![\w@.+#/=-])"
 _EMAIL = re.compile(rf"(?<![\w@.+#=-])(\w[\w.%+-]{{0,63}})({_AT})({_LABEL}(?:{_DOT}{_LABEL}){{1,6}})", re.I)
-_RUN = re.compile(r"(?<![\w@#=/.-])(?:\+|\()?\d[\d()]*(?:(?:[ \u00a0./-]|\) |\)-| \(| x|,? ?ext\.? ?)[\d()]+){0,9}(?![\w@])", re.I)
+_RUN = re.compile(r"(?<![\w@#=/.-])(?:\+|\()?\d[\d()]*(?:(?:[ \u00a0./-]|\) |\)-| \(| x|,? ?ext\.? ?)[\d()]+)*(?![\w@])", re.I)
 _NUM = re.compile(r"\d+")
 _DIGIT = re.compile(r"\d")
 _ID = {k: re.compile(rf"(?<![\w@#=/.-]){v}(?![\w@])(?!-\w)(?!\.\d)", re.I) for k, v in _ID_FORMS.items()}
@@ -194,19 +194,20 @@ def _emails(text: str) -> Iterator[Segment]:
 
 
 def _number_spans(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of digit groups, and runs without the leading or trailing groups."""
+    """Every part of a run of digit groups that has 7 to 18 digits."""
     for m in _RUN.finditer(text):
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in _NUM.finditer(m[0])]
-        if sum(b - a for a, b in groups) < 7:
-            continue
-        for i in range(min(len(groups), 4)):
-            for j in range(len(groups) - 1, max(i - 1, len(groups) - 4), -1):
-                a, b = groups[i][0], groups[j][1]
-                if i == 0:
-                    a = m.start()
-                elif text[a - 1] == "(":
-                    a -= 1
-                if 7 <= sum(map(str.isdigit, text[a:b])) <= 18:
+        for i, (a, _) in enumerate(groups):
+            if i == 0:
+                a = m.start()
+            elif text[a - 1] == "(":
+                a -= 1
+            digits = 0
+            for first, b in groups[i : i + 18]:
+                digits += b - first
+                if digits > 18:
+                    break
+                if digits >= 7:
                     yield a, b
 
 

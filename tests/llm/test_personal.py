@@ -129,6 +129,11 @@ def test_every_text_with_a_candidate_passes_the_first_look(names, model):
     assert not all(passed)
 
 
+@pytest.mark.parametrize(("text", "numbers"), [("call 020 7946 0999 10 20 30", ["020 7946 0999"]), ("020 7946 0999 020 7946 0888", ["020 7946 0999", "020 7946 0888"]), ("1 2 3 4 5 6 7 8 9 10 11 555-0145 12", ["555-0145"])])
+def test_numbers_anywhere_in_a_long_run(text, numbers):
+    assert set(numbers) <= {text[a:b] for a, b in p._number_spans(text)}
+
+
 def test_operators(spark, names):
     rows = [(1, "ring 555-0145 now", 5), (1, "ring 555-0145 now", 5), (2, None, 5), (3, "", 5), (4, "word " * 60_000 + "email: a.b@c.example", 5), (None, "nothing", None)]
     df = spark.createDataFrame(rows, "seq bigint, text string, kind int")
