@@ -32,8 +32,10 @@ SHARD_WORDS = 400_000
 SAMPLE = 16
 #: Items searched together; further items are searched in further passes.
 BLOCK_ITEMS = 20_000
-#: Part of a passage's phrases that must be hit before the words are aligned.
-SEED_SHARE = 0.2
+#: Part of the words of an aligned stretch that must be equal.
+EQUAL = 0.75
+#: From this many words on, a stretch with a quarter of its words changed, in whatever places, still has two whole phrases.
+TWO_PHRASES = 13
 OTHER, SEPARATOR = 1, 0
 _WORD = regex.compile(r"[\p{L}\p{Nd}](?:[\p{L}\p{M}\p{Nd}]|-[ \t]*\r?\n[ \t>*]*(?=\p{Ll}))*")
 _BREAK = regex.compile(r"-[ \t]*\r?\n[ \t>*]*")
@@ -222,6 +224,23 @@ def align(text: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, in
     return matches, int(j), int(end_j) - 1, int(i), int(end_i) - 1
 
 
+def _masks(passage: np.ndarray) -> dict[int, int]:
+    """For each word of the passage, its places as bits."""
+    out: dict[int, int] = {}
+    for place, w in enumerate(passage.tolist()):
+        out[w] = out.get(w, 0) | 1 << place
+    return out
+
+
+def common_words(text: np.ndarray, masks: dict[int, int], size: int) -> int:
+    """Length of the longest common subsequence with a passage of ``size`` words: no alignment has more matches."""
+    every = free = (1 << size) - 1
+    for w in text.tolist():
+        if here := masks.get(w, 0) & free:
+            free = ((free + here) | (free - here)) & every
+    return size - free.bit_count()
+
+
 def _stretches(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Windows of the text in which hits lie close together, with room for the rest of the passage."""
     cuts = np.flatnonzero(np.diff(places) > length) + 1
@@ -251,9 +270,10 @@ def search_shard(documents: list[np.ndarray], items: Items, share: float) -> lis
     distinct = np.unique(pair * longest + np.minimum(q, longest - 1)) // longest
     pairs, hit = np.unique(distinct, return_counts=True)
     lengths = np.array([len(p) for p in items.passages])
-    need = np.maximum(1, SEED_SHARE * (lengths - PHRASE + 1))
+    least = np.ceil(share * lengths)
+    need = np.where(least >= TWO_PHRASES, 2, 1)
     good = pairs[hit >= need[pairs % len(items.ids)]]
-    out = []
+    out, masks = [], {}
     keep = np.isin(pair, good)
     pair, at = pair[keep], at[keep]
     order = np.lexsort((at, pair))
@@ -262,14 +282,18 @@ def search_shard(documents: list[np.ndarray], items: Items, share: float) -> lis
     for a, b in zip(edges, np.append(edges[1:], len(pair))):
         d, i = divmod(int(pair[a]), len(items.ids))
         passage, text = items.passages[i], documents[d]
+        if i not in masks:
+            masks[i] = _masks(passage)
         places = at[a:b] - starts[d]
         for x, y in _stretches(places, len(passage)):
             inside = np.count_nonzero((places >= x) & (places <= y))
             if inside < need[i]:
                 continue
             x, y = max(0, x), min(len(text), y)
+            if common_words(text[x:y], masks[i], len(passage)) < EQUAL * least[i]:
+                continue
             matches, first, last, begin, end = align(text[x:y], passage)
-            if (last - first + 1) >= share * len(passage) and matches >= 0.75 * (last - first + 1):
+            if (last - first + 1) >= share * len(passage) and matches >= EQUAL * (last - first + 1):
                 out.append((d, i, x + begin, x + end, matches))
     return out
 

@@ -83,6 +83,30 @@ def test_leaks(spark):
     assert spans[11] == ([0, 1], 2) and spans[1] == ([0], 1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 6), max_size=30), st.lists(st.integers(2, 6), min_size=1, max_size=20))
+def test_no_alignment_has_more_matches_than_common_words(text, passage):
+    best = np.zeros((len(text) + 1, len(passage) + 1), int)
+    for i, a in enumerate(text):
+        for j, b in enumerate(passage):
+            best[i + 1, j + 1] = best[i, j] + 1 if a == b else max(best[i, j + 1], best[i + 1, j])
+    text, passage = np.array(text, np.int64), np.array(passage)
+    common = lk.common_words(text, lk._masks(passage), len(passage))
+    assert common == best[-1, -1] and lk.align(text, passage)[0] <= common
+
+
+def test_half_a_passage_with_changed_words(spark):
+    """31 words: half of it are 16, of which three or four changed ones leave few whole phrases; 46 words: five of 23."""
+    items, documents = [], []
+    for n, changed in ((31, (4, 8, 12)), (31, (2, 5, 8, 11)), (46, (3, 7, 11, 15, 19))):
+        words = _passage(len(items), n)
+        half = [f"other{k}" if k in changed else w for k, w in enumerate(words[: -(-n // 2)])]
+        documents.append((len(items), "begin " * 5 + " ".join(half) + " end" * 5))
+        items.append((len(items), " ".join(words)))
+    found = lk.leaks(spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(3)}
+
+
 def test_empty_tables(spark):
     df, items = _setup(spark, [(1, "a b c", "x")])
     assert lk.leaks(df.limit(0), items).count() == 0
