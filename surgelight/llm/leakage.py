@@ -285,16 +285,15 @@ def search_shard(documents: list[np.ndarray], items: Items, share: float) -> lis
         if i not in masks:
             masks[i] = _masks(passage)
         places = at[a:b] - starts[d]
-        for x, y in _stretches(places, len(passage)):
-            inside = np.count_nonzero((places >= x) & (places <= y))
-            if inside < need[i]:
-                continue
-            x, y = max(0, x), min(len(text), y)
-            if common_words(text[x:y], masks[i], len(passage)) < EQUAL * least[i]:
+        todo = [(max(0, x), min(len(text), y)) for x, y in _stretches(places, len(passage))]
+        while todo:
+            x, y = todo.pop()
+            if np.count_nonzero((places >= x) & (places < y)) < need[i] or common_words(text[x:y], masks[i], len(passage)) < EQUAL * least[i]:
                 continue
             matches, first, last, begin, end = align(text[x:y], passage)
             if (last - first + 1) >= share * len(passage) and matches >= EQUAL * (last - first + 1):
                 out.append((d, i, x + begin, x + end, matches))
+                todo += [(x, x + begin), (x + end + 1, y)]  # further copies beside it
     return out
 
 

@@ -107,6 +107,15 @@ def test_half_a_passage_with_changed_words(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(3)}
 
 
+def test_copies_close_together(spark):
+    p = " ".join(_passage(0))
+    text = f"{p} gap gap gap {p} gap {p} end"
+    df, items = _setup(spark, [(1, text, "x")])
+    rows = lk.leaks(df, items).collect()
+    assert sorted(text[r.start : r.end] for r in rows) == [p] * 3
+    assert [len(r.spans) for r in lk.leaked_documents(df, items).collect()] == [3]
+
+
 def test_empty_tables(spark):
     df, items = _setup(spark, [(1, "a b c", "x")])
     assert lk.leaks(df.limit(0), items).count() == 0
