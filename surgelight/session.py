@@ -36,14 +36,11 @@ def build_session(app: str = "surgelight", master: str | None = None, **conf: st
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that later stages survive the loss of an executor.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set (tests on one
-    machine) a folder of our own is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir`` (see ``shared_folder``).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "surgelight-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -52,21 +49,39 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a local one where ``spark.checkpoint.dir`` is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "surgelight-checkpoints")
+    """The shared folder that ``spark.checkpoint.dir`` names. Only a local master (tests on one machine) may leave it unset; a cluster without one is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or os.path.join(tempfile.gettempdir(), "surgelight-checkpoints")
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read again; removed when the driver ends."""
+    """``df`` written once as a table in the shared folder and read again.
+
+    Results are lazy, so the table must outlive the caller; it is removed when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/surgelight-{name}-{uuid.uuid4().hex}"
+    path = temporary_folder(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/surgelight-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a folder at once."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once for each application: as an archive in the shared folder that Spark hands out."""
     context = spark.sparkContext
