@@ -1,8 +1,9 @@
 """Numbers in arrival order, and the windows that are counted in messages or tokens.
 
-Running numbers and sums are taken in two steps: order is cut into ranges of the order column, each range is summed, the
-sums of earlier ranges (one row a range) are added up, and only inside a range rows are put in order. No task ever holds
-more than a range, or one row for each range.
+Running numbers and sums are taken in two steps: order is cut into ranges, each range is summed, the sums of earlier ranges
+(one row a range) are added up, and only inside a range rows are put in order. Ranges follow the data: where the order column
+is neither dense nor evenly filled, or has many equal values, crowded stretches are cut further. No task ever holds more than
+about a range, or one row for each range.
 """
 
 from __future__ import annotations
@@ -12,21 +13,48 @@ from pyspark.sql import functions as F
 
 from surgelight.config import Settings
 
-#: Values of the order column in one range.
+#: Rows of one range, about.
 RANGE = 1 << 16
-
-
-def with_running_sum(df: DataFrame, order_col: str, value: Column, name: str, width: int = RANGE) -> DataFrame:
+#: Stretches of equal width that are counted before crowded ones are cut further.
+STRETCHES = 1 << 12
+
+
+def _tie(df: DataFrame) -> Column:
+    """A number in [0, 1) that puts rows of equal order in an order of their own, made from their columns."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.simpleString().find("map<") < 0]
+    return F.pmod(F.xxhash64(*plain), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _ranged(df: DataFrame, order_col: str, rows: int) -> DataFrame:
+    """Adds ``_r``, which never falls as (order, ``_h``) rises, and ``_h`` for the order among equals; null orders have the lowest ``_r``."""
+    order = F.col(order_col)
+    low, high, n, empty = df.agg(F.min(order), F.max(order), F.count(order), F.count(F.lit(1)) - F.count(order)).first()
+    width = 1 if low is None else high - low + 1
+    if n <= 4 * width and width <= 4 * n and empty <= rows:  # dense: ranges of equal width are evenly filled
+        return df.withColumns({"_h": F.lit(0.0), "_r": F.coalesce(F.floor((order - F.lit(low)) / rows), F.lit(-1)) if n else F.lit(-1).cast("bigint")})
+    step = max(1, -(-width // STRETCHES))
+    stretch = F.coalesce(F.floor((order - F.lit(low)) / step), F.lit(-1)) if n else F.lit(-1).cast("bigint")
+    cut = df.withColumns({"_h": _tie(df), "_s": stretch})
+    crowded = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rows).collect()  # at most STRETCHES + 1 rows
+    if not crowded:
+        return cut.withColumn("_r", F.col("_s") * (1 << 31)).drop("_s")
+    parts = df.sparkSession.createDataFrame([(r["_s"], -(-r["c"] // rows)) for r in crowded], "_t bigint, _k bigint")
+    inside = (F.coalesce((order - F.lit(low) - F.col("_s") * step).cast("double"), F.lit(0.0)) + F.col("_h")) / F.when(F.col("_s") < 0, 1).otherwise(step)
+    joined = cut.join(F.broadcast(parts), F.col("_s") == F.col("_t"), "left")
+    return joined.withColumn("_r", F.col("_s") * (1 << 31) + F.coalesce(F.floor(inside * F.col("_k")), F.lit(0))).drop("_s", "_t", "_k")
+
+
+def with_running_sum(df: DataFrame, order_col: str, value: Column, name: str, rows: int = RANGE) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows up to and with this one, in ascending order of the integer ``order_col``.
 
     Rows of equal order are taken in any order; null orders come first, null values count 0.
     """
-    cut = df.withColumns({"_v": F.coalesce(value.cast("bigint"), F.lit(0)), "_r": F.coalesce(F.floor(F.col(order_col) / width), F.lit(-(1 << 62)))})
+    cut = _ranged(df.withColumn("_v", F.coalesce(value.cast("bigint"), F.lit(0))), order_col, rows)
     sums = cut.groupBy(F.col("_r").alias("_q")).agg(F.sum("_v").alias("_s"))
     before = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = sums.select("_q", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_r").orderBy(F.col(order_col).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(offsets, F.col("_r") == F.col("_q")).withColumn(name, F.col("_o") + F.sum("_v").over(inside)).drop("_v", "_r", "_q", "_o")
+    inside = Window.partitionBy("_r").orderBy(F.col(order_col).asc_nulls_first(), "_h").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(offsets, F.col("_r") == F.col("_q")).withColumn(name, F.col("_o") + F.sum("_v").over(inside)).drop("_v", "_r", "_h", "_q", "_o")
 
 
 def with_ordinal(df: DataFrame, order_col: str = "seq", name: str = "ordinal") -> DataFrame:
@@ -86,8 +114,14 @@ def window_counts(file_counts: DataFrame, settings: Settings, files: int) -> Dat
     return least.select("rebuild", "token", (F.col("last") - F.least(F.lit(0), F.col("least"))).alias("n")).where("n > 0")
 
 
-def rebuild_of_batch(batch_files: DataFrame, settings: Settings) -> DataFrame:
-    """(batch, rebuild): the last rebuild done when a batch begins, from (batch, first_file); batches before any are left out."""
+def rebuild_of_batch(batch_files: DataFrame, settings: Settings, warm: bool = False) -> DataFrame:
+    """(batch, rebuild): the last rebuild done when a batch begins, from (batch, first_file); batches before any are left out.
+
+    After a ``warm`` start there is a rebuild 0 from saved counts, which serves the batches before the first regular one.
+    """
     n, e = settings.token_persist_files, max(1, settings.rebuild_every_files)
     file = F.col("first_file")
-    return batch_files.where(file >= n).select("batch", (n + F.floor((file - n) / e) * e).cast("bigint").alias("rebuild"))
+    rebuild = F.when(file >= n, (n + F.floor((file - n) / e) * e).cast("bigint"))
+    if warm:
+        return batch_files.select("batch", F.coalesce(rebuild, F.lit(0).cast("bigint")).alias("rebuild"))
+    return batch_files.where(file >= n).select("batch", rebuild.alias("rebuild"))
