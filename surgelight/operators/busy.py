@@ -2,8 +2,8 @@
 
 Counts are hashed: every token hits one position of three arrays of its class. A position is hot if its count lies ``z_score``
 standard deviations above the mean of all positions, empty ones included. A word is busy if all three of its positions are hot
-and the word was known by the end of the batch. The reference tries all triples of hot positions; here the dictionary is
-joined with the hot positions of the first, the second and the third array in turn, which gives the same words.
+and the word was known by the end of the batch. Instead of trying all triples of hot positions, the dictionary is
+joined with the hot pairs of the first and second array and checked against the third, which gives the same words.
 """
 
 from __future__ import annotations
@@ -77,10 +77,23 @@ def hot_positions(cells: DataFrame, settings: Settings) -> DataFrame:
     return joined.where((F.col("c") - F.col("mean")) / F.col("sd") >= settings.z_score).select("batch", "class", "part", "pos", "c")
 
 
-def words_at(hot: DataFrame, words: DataFrame) -> DataFrame:
-    """(batch, class, token): dictionary words known by the end of the batch, all three positions hot; of words with equal keys the one seen first last."""
-    at = lambda k: hot.where(F.col("part") == k).select("batch", "class", F.col("pos").alias(f"p{k}"))
-    found = words.join(at(1), "p1").where(F.col("first_batch") <= F.col("batch")).join(at(2), ["batch", "class", "p2"]).join(at(3), ["batch", "class", "p3"])
+def words_at(hot: DataFrame, words: DataFrame, z_score: float = 3.5) -> DataFrame:
+    """(batch, class, token): dictionary words known by the end of the batch, all three positions hot; of words with equal keys the one seen first last.
+
+    The hot positions of a batch and class are three short arrays: at a threshold z at most 1 / (1 + z * z) of all positions
+    lie above it. The pairs of its first and second positions meet the dictionary on both parts of the key at once, and the
+    third is looked up in the array inside the join. So what is shuffled is the dictionary once and the hot pairs, whatever
+    the number of words; the join has as many keys as there are pairs of positions. Low thresholds, where the arrays may
+    be long, meet on the first part alone.
+    """
+    listed = lambda k: F.collect_list(F.when(F.col("part") == k, F.col("pos"))).alias(f"h{k}")
+    groups = hot.groupBy("batch", "class").agg(listed(1), listed(2), listed(3)).where((F.size("h1") > 0) & (F.size("h2") > 0) & (F.size("h3") > 0))
+    fits = (F.col("first_batch") <= F.col("batch")) & F.array_contains("h3", F.col("p3"))
+    if z_score >= 2:
+        pairs = groups.select("batch", "class", "h3", F.explode("h1").alias("p1"), "h2").select("batch", "class", "h3", "p1", F.explode("h2").alias("p2"))
+        found = words.join(pairs, ["p1", "p2"]).where(fits)
+    else:
+        found = words.join(groups.select("batch", "class", "h2", "h3", F.explode("h1").alias("p1")), "p1").where(fits & F.array_contains("h2", F.col("p2")))
     latest = Window.partitionBy("batch", "class", "p1", "p2", "p3").orderBy(F.desc("first_seq"), F.desc("token"))
     return found.withColumn("_r", F.row_number().over(latest)).where("_r = 1").select("batch", "class", "token")
 
@@ -88,7 +101,7 @@ def words_at(hot: DataFrame, words: DataFrame) -> DataFrame:
 def busy_words(counts: DataFrame, classes: DataFrame, settings: Settings, schedule: DataFrame | None = None) -> DataFrame:
     """(batch, class, token) from ``batch_counts`` and frequency classes."""
     cells = counters(with_class(counts, classes, settings, schedule), settings)
-    return words_at(hot_positions(cells, settings), dictionary(counts, settings))
+    return words_at(hot_positions(cells, settings), dictionary(counts, settings), settings.z_score)
 
 
 def summary(busy: DataFrame) -> DataFrame:

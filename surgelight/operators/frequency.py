@@ -69,14 +69,19 @@ def frequency_classes(counts: DataFrame, classes: int, min_count: int = 0, by: s
     )
     joined = rows.join(places, [group, "n"])
     plain = joined.where(~F.col("split")).select(group, "token", "n", F.col("t").alias("class"))
-    # places inside a count: prefixes of the token are numbered first, then tokens inside a prefix
+    # places inside a count: prefixes of the token are numbered first; tokens inside a prefix only where a boundary, or one
+    # of the first 2F places, lies inside it
     split = joined.where("split").withColumn("_p", F.substring("token", 1, 3))
     prefixes = split.groupBy(group, "n", "_p").agg(F.count(F.lit(1)).alias("c"))
     earlier = Window.partitionBy(group, "n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # distinct prefixes only
-    prefixes = prefixes.select(group, "n", "_p", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("o"))
+    prefixes = prefixes.select(group, "n", "_p", "c", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("o"))
+    placed = split.join(prefixes, [group, "n", "_p"])
+    at = lambda place: reach(F.col("use_before") + place * F.col("n"))
+    whole_prefix = (F.col("rows_before") + F.col("o") >= 2 * f) & (at(F.col("o")) == at(F.col("o") + F.col("c") - 1))
+    plain = plain.unionByName(placed.where(whole_prefix).select(group, "token", "n", at(F.col("o")).alias("class")))
     place = F.col("o") + F.row_number().over(Window.partitionBy(group, "n", "_p").orderBy("token"))
-    split = split.join(prefixes, [group, "n", "_p"]).withColumn("_q", place)
-    split = split.select(group, "token", "n", (F.col("rows_before") + F.col("_q")).alias("i"), reach(F.col("use_before") + (F.col("_q") - 1) * F.col("n")).alias("t"))
+    split = placed.where(~whole_prefix).withColumn("_q", place)
+    split = split.select(group, "token", "n", (F.col("rows_before") + F.col("_q")).alias("i"), at(F.col("_q") - 1).alias("t"))
     head = split.where(F.col("i") <= 2 * f)
     lag = F.min(F.col("t") - F.col("i")).over(Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))  # 2F rows
     head = head.select(group, "token", "n", (F.col("i") + F.least(F.lit(0), lag)).alias("class"))
