@@ -1,11 +1,14 @@
 import random
+import sys
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from surgelight.config import Settings
 from surgelight.functions.text import tokens
 from surgelight.plans import pipeline
-from surgelight.sources.queue import FolderClient, QueueSource
+from surgelight.sources.queue import BrokerClient, FolderClient, QueueSource
 from surgelight.sources.strict import load_strict
 from surgelight.streaming.engine import BusyStream
 
@@ -68,9 +71,86 @@ def test_publishing_to_a_queue(spark, tmp_path):
     df = spark.createDataFrame([(i, f"body {i}") for i in range(20)], "seq bigint, body string").repartition(3)
     for _ in range(2):
         df.write.format("surgelight_queue").option("path", str(tmp_path / "q")).mode("append").save()
-    assert FolderClient({"path": str(tmp_path / "q")}).inspect() == {"name": "q", "messages": 20}
+    assert FolderClient({"path": str(tmp_path / "q")}).inspect() == {"name": "q", "messages": 20, "consumers": 0}
     source = spark.readStream.format("surgelight_queue").option("path", str(tmp_path / "q")).load()
     query = source.writeStream.format("surgelight_queue").option("path", str(tmp_path / "copy")).option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
     assert sorted(FolderClient({"path": str(tmp_path / "copy")}).fetch(0, 99)) == sorted(f"body {i}" for i in range(20))
+
+
+def test_a_limited_source_keeps_to_its_limit_and_goes_on_after_a_restart(spark, tmp_path):
+    spark.dataSource.register(QueueSource)
+    queue = tmp_path / "q"
+    queue.mkdir()
+    (queue / "a").write_text("\n".join(f"m{i}" for i in range(25)))
+    sizes, got = [], []
+
+    def take(df, epoch):
+        rows = [(r.seq, r.body) for r in df.collect()]
+        sizes.append(len(rows))
+        got.extend(rows)
+
+    def run():
+        source = spark.readStream.format("surgelight_queue").option("path", str(queue)).option("maxMessagesPerTrigger", "10").option("progressPath", str(tmp_path / "p")).load()
+        query = source.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+        query.stop()
+
+    run()
+    assert max(sizes) <= 10 and got == [(i, f"m{i}") for i in range(25)]
+    (queue / "b").write_text("\n".join(f"m{i}" for i in range(25, 40)))
+    run()
+    assert max(sizes) <= 10 and got == [(i, f"m{i}") for i in range(40)]
+
+
+class _Broker:
+    """Stands for the package pika: queues in memory; what is taken and not acknowledged comes back."""
+
+    waiting: list[bytes] = []
+
+    def __init__(self):
+        self.taken: list[bytes] = []
+
+    def queue_declare(self, queue, durable=False, passive=False):
+        return SimpleNamespace(method=SimpleNamespace(queue=queue, message_count=len(self.waiting), consumer_count=1))
+
+    def basic_get(self, queue, auto_ack):
+        if not self.waiting:
+            return None, None, None
+        self.taken.append(self.waiting.pop(0))
+        return SimpleNamespace(delivery_tag=len(self.taken)), None, self.taken[-1]
+
+    def basic_ack(self, delivery_tag, multiple):
+        del self.taken[:delivery_tag]
+
+    def basic_publish(self, exchange, routing_key, body, properties):
+        self.waiting.append(body)
+
+
+def test_broker_client(tmp_path, monkeypatch):
+    class Connection:
+        def __init__(self, parameters):
+            self.open = _Broker()
+
+        def channel(self):
+            return self.open
+
+        def close(self):
+            _Broker.waiting[:0] = self.open.taken
+
+    fake = SimpleNamespace(PlainCredentials=lambda *a: a, ConnectionParameters=lambda **k: k, BlockingConnection=Connection, BasicProperties=lambda **k: k)
+    monkeypatch.setitem(sys.modules, "pika", fake)
+    client = BrokerClient({"path": str(tmp_path / "log"), "queue": "q", "drain": "3"})
+    bodies = ["a", 'two\nlines "x\\n"', "", "c", "d"]
+    assert client.publish("x", bodies) == 5 and client.inspect() == {"name": "q", "messages": 5, "consumers": 1}
+    assert client.latest() == 5 and list(client.fetch(0, 5)) == bodies and list(client.fetch(1, 3)) == bodies[1:3]
+    client.publish("y", ["e"])
+    with monkeypatch.context() as m:
+        m.setattr(FolderClient, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            client.latest()
+    assert client.latest() == 6 and list(client.fetch(5, 6)) == ["e"] and not _Broker.waiting
+    monkeypatch.setitem(sys.modules, "pika", None)
+    with pytest.raises(RuntimeError):
+        client.inspect()
