@@ -74,7 +74,7 @@ def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts without the words of the list, by an anti join."""
     counts = frequency.token_counts(_tweets(spark, sf_dir))
-    return counts.join(word_list(spark, sf_dir), F.lower("token") == F.col("word"), "left_anti")
+    return files.without_words(counts, word_list(spark, sf_dir))
 
 
 # ------------------------------------------------------------------------------------------------- sources

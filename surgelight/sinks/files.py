@@ -44,7 +44,7 @@ def write_token_files(tokens: DataFrame, path: str, settings: Settings) -> None:
     """Token counts of each complete file (file_no, token, n), partitioned by file; numbering goes on from the rows given."""
     counts = tokens.groupBy("file_no", "token").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.groupBy("file_no").agg(F.sum("n").alias("_n")).where(F.col("_n") == settings.file_tokens)
-    counts.join(F.broadcast(whole.select("file_no")), "file_no").repartition("file_no").write.mode("append").partitionBy("file_no").parquet(path)
+    counts.join(whole.select("file_no"), "file_no").repartition("file_no").write.mode("append").partitionBy("file_no").parquet(path)
 
 
 def write_state(df: DataFrame, state_dir: str, name: str) -> None:

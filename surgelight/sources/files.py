@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from surgelight.config import Settings
 from surgelight.functions.text import alphabetic_words, pattern_counts, tokens
+from surgelight.sources.messages import parse_messages
 from surgelight.sources.strict import FIELDS, load_strict
 
 MESSAGE = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
@@ -65,7 +66,7 @@ def event_counts(parsed: DataFrame) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str, line_mode: bool = False) -> DataFrame:
-    """Messages of CSV files with a header, in order of file name, with ``path``.
+    """Messages of CSV files with a header, with ``path``; ``in_time_order`` of the paths gives the order of the files.
 
     Quoted line breaks are kept. With ``line_mode`` every physical line is a message of its own (column ``body``), as when
     files are replayed line by line: headers are among them, and messages with line breaks come in parts.
@@ -86,15 +87,14 @@ def lenient_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tweets(raw: DataFrame, settings: Settings, words: list[str] | None = None, body: str = "body", count_retweets: bool = False) -> DataFrame:
-    """Tweets of the bodies that can be loaded: id_str, unix, user_id_str, text, tokens, retweeted, retweet_count; other columns stay.
+    """Tweets of the bodies that the tolerant parser loads: id_str, unix, user_id_str, text, tokens, retweeted, retweet_count; other columns stay.
 
-    ``retweet_count`` is 0 as in the described engine, unless ``count_retweets``.
+    ``retweet_count`` is 0 as in the described engine, unless ``count_retweets`` (then null where it is no number).
     """
-    loaded = load_strict(raw, body)
-    keep = [c for c in raw.columns if c not in (body, "id_str", "unix", "user_id_str", "text", "tokens", "retweeted", "retweet_count")]
-    text = F.col("record.text")
-    n = F.col("record.retweet_count").cast("int") if count_retweets else F.lit(0)
-    return loaded.select(*keep, "record.id_str", "record.unix", "record.user_id_str", text.alias("text"), tokens(text, settings, words).alias("tokens"), "record.retweeted", n.alias("retweet_count"))
+    loaded = parse_messages(raw, body)
+    keep = [F.col(f"`{c}`") for c in loaded.columns if c not in ("id_str", "unix", "user_id_str", "text", "tokens", "retweeted", "retweet_count")]
+    n = F.col("retweet_count").try_cast("int") if count_retweets else F.lit(0)
+    return loaded.select(*keep, "id_str", "unix", "user_id_str", "text", tokens(F.col("text"), settings, words).alias("tokens"), "retweeted", n.alias("retweet_count"))
 
 
 def strict_counts(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -112,9 +112,21 @@ def word_list(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select(word.alias("word")).where("word <> '' AND NOT startswith(word, '#')").distinct()
 
 
+#: Words that a list may have to be used in expressions.
+MOST_WORDS = 20_000
+
+
 def words_of(lines: DataFrame, line: str = "line") -> list[str]:
-    """The word list on the driver, for use in expressions; a list kept by hand."""
-    return sorted(r.word for r in word_list(lines, line).collect())
+    """The word list on the driver, for use in expressions: a list kept by hand, of at most MOST_WORDS words (else an error; see ``without_words``)."""
+    words = word_list(lines, line).limit(MOST_WORDS + 1).collect()
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words: take them out with without_words")
+    return sorted(r.word for r in words)
+
+
+def without_words(rows: DataFrame, words: DataFrame, token: str = "token") -> DataFrame:
+    """Rows whose ``token``, lower-cased, is not in the list (word), of whatever size."""
+    return rows.join(words, F.lower(token) == F.col("word"), "left_anti")
 
 
 def changed_words(words: DataFrame, add: list[str] = (), remove: list[str] = ()) -> DataFrame:
@@ -124,9 +136,10 @@ def changed_words(words: DataFrame, add: list[str] = (), remove: list[str] = ())
     return words.unionByName(more).distinct().where(~F.col("word").isin([w.strip().lower() for w in remove]))
 
 
-def first_messages(messages: DataFrame, n: int = 500, body: str = "body") -> DataFrame:
-    """The first ``n`` bodies that are no headers, for trying a queue out."""
-    return messages.where(~F.col(body).startswith("id_str")).limit(n)
+def first_messages(messages: DataFrame, n: int = 500, body: str = "body", order_col: str | None = None) -> DataFrame:
+    """The first ``n`` bodies (in order of ``order_col``, if given) that are no headers, for trying a queue out."""
+    rows = messages.where(~F.col(body).startswith("id_str"))
+    return (rows.orderBy(F.col(order_col).asc_nulls_last()) if order_col else rows).limit(n)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -172,5 +185,3 @@ def in_time_order(files: DataFrame, path: str = "path") -> DataFrame:
 
     timed = files.withColumn("name_ms", start_millis(F.col(path)))
     return timed.withColumn("place", F.row_number().over(Window.orderBy(F.col("name_ms").asc_nulls_last(), path)))
-
-
