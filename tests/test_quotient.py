@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from surgelight.operators.quotient import QuotientTable, first_deliveries, mark_repeats, permute, repeated_deliveries
+from surgelight.operators.quotient import QuotientTable, first_deliveries, mark_repeats, permute, repeated_deliveries, restored, _bounds, _shard_of
 
 SCHEMA = "id_str string, seq bigint, is_repeat string, c0 int, _k int"
 
@@ -16,7 +16,7 @@ def test_permutation_has_no_collision():
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 60), max_size=40), max_size=8))
 def test_table_against_a_set(batches):
-    table, known = QuotientTable(slots=4), set()
+    table, known = QuotientTable(), set()
     for keys in batches:
         want = []
         for k in keys:
@@ -26,8 +26,27 @@ def test_table_against_a_set(batches):
     assert table.n == len(known)
 
 
+def test_permutation_can_be_undone():
+    x = np.random.default_rng(1).integers(0, 1 << 63, 10_000, dtype=np.uint64)
+    assert (restored(permute(x)) == x).all()
+
+
+def test_only_remainders_are_stored_and_give_the_identifiers_back():
+    keys = np.unique(np.random.default_rng(2).integers(0, 10**18, 50_000))
+    for shards in (1, 12, 500):
+        shard = _shard_of(permute(keys), shards)
+        low, high = _bounds(int(shard[0]), shards)
+        own = keys[shard == shard[0]]
+        table = QuotientTable(low, high)
+        for part in np.array_split(own, 7):
+            assert table.insert(part).all()
+        back = np.concatenate([restored(level.members()) for level in table.levels])
+        assert sorted(back.tolist()) == own.tolist() and all(level.remainders.max() < 1 << level.cut for level in table.levels)
+        assert not table.insert(own).any()
+
+
 def test_table_grows():
-    table = QuotientTable(slots=4)
+    table = QuotientTable()
     keys = np.arange(100_000)
     assert table.insert(keys).all() and not table.insert(keys[::-1]).any()
 
