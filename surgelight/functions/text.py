@@ -6,7 +6,7 @@ across white space, so the result is that of cleaning token by token, with three
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surgelight.config import Settings, TokenFilters
@@ -74,6 +74,20 @@ def tokens(text: Column, settings: Settings, words: list[str] | None = None) ->
     return F.transform(F.filter(cleaned(text, settings.token_filters.remove_urls), keep), F.lower)
 
 
+def rejection_totals(df: DataFrame, settings: Settings, text_col: str = "text", words: list[str] | None = None) -> DataFrame:
+    """One row: ``processed``, all pieces between white space; ``rejected``, the tokens that fail a rule, and how many fail each rule first.
+
+    Pieces dropped for another reason (nothing left after cleaning, too short, a listed word) are processed but not rejected.
+    """
+    w = F.col("_w")
+    rows = df.select(F.coalesce(F.size(fields(F.col(text_col))), F.lit(0)).alias("_p"), cleaned(F.col(text_col), settings.token_filters.remove_urls).alias("_c"))
+    pieces = rows.select("_p", F.posexplode_outer("_c").alias("_i", "_w"))
+    live = (F.length(w) >= max(1, settings.min_token_len)) & (~F.lower(w).isin(words) if words else F.lit(True))
+    reasons = pieces.select(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_p")).otherwise(0).alias("_p"), F.when(live, rejection(w, settings.token_filters)).alias("_r"))
+    counts = [F.coalesce(F.count_if(F.col("_r") == r), F.lit(0)).alias(r) for r in REASONS]
+    return reasons.agg(F.coalesce(F.sum("_p"), F.lit(0)).alias("processed"), F.count("_r").alias("rejected"), *counts)
+
+
 def simple_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and underscores, two at least, none beginning with ``http``."""
     return F.filter(F.split(F.lower(text), r"\W+"), lambda w: (F.length(w) >= 2) & ~w.startswith("http"))

@@ -24,6 +24,11 @@ def batch_counts(df: DataFrame, order_col: str = "seq", tokens_col: str = "token
 def dictionary(counts: DataFrame, settings: Settings) -> DataFrame:
     """(token, p1, p2, p3, first_batch, first_seq) of every token that occurs."""
     first = counts.groupBy("token").agg(F.min(F.coalesce("batch", F.lit((1 << 62)))).alias("first_batch"), F.min("first_seq").alias("first_seq"))
+    return keyed_words(first, settings)
+
+
+def keyed_words(first: DataFrame, settings: Settings) -> DataFrame:
+    """The dictionary from (token, first_batch, first_seq)."""
     return first.select("token", *key_parts(F.col("token"), settings.bw_array_len), "first_batch", "first_seq")
 
 
@@ -109,6 +114,14 @@ def summary(busy: DataFrame) -> DataFrame:
     return busy.groupBy("batch", "class").agg(F.count(F.lit(1)).alias("words"), F.array_join(F.array_sort(F.collect_list("token")), ",").alias("list"))
 
 
+def summary_lines(busy: DataFrame) -> DataFrame:
+    """(batch, line): one printable line for each batch with a busy word."""
+    by_class = summary(busy).select("batch", F.struct("class", "words", "list").alias("c"))
+    rows = by_class.groupBy("batch").agg(F.sum("c.words").alias("n"), F.array_sort(F.collect_list("c")).alias("cs"))
+    shown = F.array_join(F.transform("cs", lambda c: F.concat(F.lit("class "), c["class"].cast("string"), F.lit(": "), c["list"])), "; ")
+    return rows.select("batch", F.format_string("batch %d: %d busy words in %d classes; %s", "batch", "n", F.size("cs"), shown).alias("line"))
+
+
 def result_rows(busy: DataFrame, batches: DataFrame, settings: Settings) -> DataFrame:
     """(Batch, Class, Tokens): a row for every batch and class, also for those without words and for skipped classes."""
     grid = batches.select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0), F.lit(settings.freq_classes - 1))).alias("class"))

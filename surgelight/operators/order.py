@@ -35,13 +35,15 @@ def _ranged(df: DataFrame, order_col: str, rows: int) -> DataFrame:
     step = max(1, -(-width // STRETCHES))
     stretch = F.coalesce(F.floor((order - F.lit(low)) / step), F.lit(-1)) if n else F.lit(-1).cast("bigint")
     cut = df.withColumns({"_h": _tie(df), "_s": stretch})
-    crowded = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rows).collect()  # at most STRETCHES + 1 rows
+    within = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("lo"), F.max(order).alias("hi"))
+    crowded = within.where(F.col("c") > rows).collect()  # at most STRETCHES + 1 rows
     if not crowded:
         return cut.withColumn("_r", F.col("_s") * (1 << 31)).drop("_s")
-    parts = df.sparkSession.createDataFrame([(r["_s"], -(-r["c"] // rows)) for r in crowded], "_t bigint, _k bigint")
-    inside = (F.coalesce((order - F.lit(low) - F.col("_s") * step).cast("double"), F.lit(0.0)) + F.col("_h")) / F.when(F.col("_s") < 0, 1).otherwise(step)
+    of = lambda r: (r["_s"], -(-r["c"] // rows), r["lo"] or 0, 1 if r["lo"] is None else r["hi"] - r["lo"] + 1)
+    parts = df.sparkSession.createDataFrame([of(r) for r in crowded], "_t bigint, _k bigint, _l bigint, _w bigint")
+    inside = (F.coalesce((order - F.col("_l")).cast("double"), F.lit(0.0)) + F.col("_h")) / F.col("_w")
     joined = cut.join(F.broadcast(parts), F.col("_s") == F.col("_t"), "left")
-    return joined.withColumn("_r", F.col("_s") * (1 << 31) + F.coalesce(F.floor(inside * F.col("_k")), F.lit(0))).drop("_s", "_t", "_k")
+    return joined.withColumn("_r", F.col("_s") * (1 << 31) + F.coalesce(F.floor(inside * F.col("_k")), F.lit(0))).drop("_s", "_t", "_k", "_l", "_w")
 
 
 def with_running_sum(df: DataFrame, order_col: str, value: Column, name: str, rows: int = RANGE) -> DataFrame:

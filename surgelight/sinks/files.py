@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import csv
 import datetime as dt
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surgelight.config import Settings
+from surgelight.sinks.shared import SharedFolder
+from surgelight.sources.queue import file_system
 from surgelight.sources.strict import FIELDS
 
 
@@ -31,20 +34,46 @@ def write_busy(rows: DataFrame, settings: Settings, started: dt.datetime) -> str
 
 
 def append_stats(path: str, tweets: int, tokens: int, distinct: int, at: dt.datetime) -> None:
-    """One row of running totals; the header is written first to a new file."""
-    new = not os.path.exists(path)
-    with open(path, "a", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        if new:
-            out.writerow(["timestamp", "total_tweets", "total_tokens", "distinct_tokens"])
-        out.writerow([f"{at:%Y-%m-%d %H:%M:%S}", tweets, tokens, distinct])
-
-
-def write_token_files(tokens: DataFrame, path: str, settings: Settings) -> None:
-    """Token counts of each complete file (file_no, token, n), partitioned by file; numbering goes on from the rows given."""
-    counts = tokens.groupBy("file_no", "token").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy("file_no").agg(F.sum("n").alias("_n")).where(F.col("_n") == settings.file_tokens)
-    counts.join(whole.select("file_no"), "file_no").repartition("file_no").write.mode("append").partitionBy("file_no").parquet(path)
+    """One row of running totals at the end of a small CSV file, on any file system that Arrow knows; the header is written first to a new file."""
+    fs, target = file_system(path)
+    fs.create_dir(os.path.dirname(target) or ".", recursive=True)
+    try:
+        with fs.open_input_stream(target) as f:
+            before = f.read().decode()
+    except FileNotFoundError:
+        before = "timestamp,total_tweets,total_tokens,distinct_tokens\n"
+    with fs.open_output_stream(f"{target}.new") as f:
+        f.write(f"{before}{at:%Y-%m-%d %H:%M:%S},{tweets},{tokens},{distinct}\n".encode())
+    fs.move(f"{target}.new", target)
+
+
+def write_token_files(tokens: DataFrame, path: str, settings: Settings) -> int:
+    """The tokens of each complete file of (seq, pos, token, file_no), one a line, as ``token_batch_NNNNNN`` under ``path``; how many files there are then.
+
+    Numbers go on from the files that are there, and file_no is counted from the first one given. ``read_token_files`` of one
+    of them, or of ``path/*``, gives the tokens back. Each file is sorted and written by one task, as it holds a bounded number of tokens.
+    """
+    spark = tokens.sparkSession
+    folder = SharedFolder(spark, path)
+    have = [int(n.rsplit("_", 1)[1]) for n in folder.names("") if re.fullmatch(r"token_batch_\d{6,}", n)]
+    next_no = max(have, default=-1) + 1
+    whole = tokens.groupBy("file_no").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == settings.file_tokens)
+    rows = tokens.join(whole.select("file_no"), "file_no").select(F.concat(F.lit("token_batch_"), F.lpad((F.col("file_no") + next_no).cast("string"), 6, "0")).alias("file"), "seq", "pos", F.col("token").alias("value"))
+    beside = f"new-{uuid.uuid4().hex}"
+    rows.repartition("file").sortWithinPartitions("file", "seq", "pos").select("file", "value").write.partitionBy("file").text(f"{path.rstrip('/')}/{beside}")
+    made = [n for n in folder.names(beside) if n.startswith("file=")]
+    for name in made:
+        folder.move(f"{beside}/{name}", name.removeprefix("file="))
+    folder.delete(beside)
+    return next_no + len(made)
+
+
+def keep_last_files(spark: SparkSession, path: str, settings: Settings) -> None:
+    """Removes all but the newest ``token_persist_files`` token files."""
+    folder = SharedFolder(spark, path)
+    names = sorted(n for n in folder.names("") if re.fullmatch(r"token_batch_\d{6,}", n))
+    for name in names[: -settings.token_persist_files]:
+        folder.delete(name)
 
 
 def write_state(df: DataFrame, state_dir: str, name: str) -> None:

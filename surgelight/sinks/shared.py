@@ -25,6 +25,14 @@ class SharedFolder:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder)))
 
+    def delete(self, name: str) -> None:
+        """Removes a file, or a folder with all in it."""
+        self._fs.delete(self._at(name), True)
+
+    def move(self, name: str, to: str) -> None:
+        if not self._fs.rename(self._at(name), self._at(to)):
+            raise OSError(f"could not move {self.path}/{name} to {to}")
+
     def write(self, name: str, text: str) -> None:
         """Replaces a small file: written beside it, then renamed."""
         beside = self._at(f"{name}.new")

@@ -65,21 +65,25 @@ def event_counts(parsed: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------------------- message files
 
 
+#: A quoted empty field is an empty string, no null: the mark for nulls is one that does not occur.
+_CSV = {"multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\x00", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_messages(spark: SparkSession, path: str, line_mode: bool = False) -> DataFrame:
     """Messages of CSV files with a header, with ``path``; ``in_time_order`` of the paths gives the order of the files.
 
-    Quoted line breaks are kept. With ``line_mode`` every physical line is a message of its own (column ``body``), as when
+    Quoted line breaks are kept; an empty field is an empty string. With ``line_mode`` every physical line is a message of its own (column ``body``), as when
     files are replayed line by line: headers are among them, and messages with line breaks come in parts.
     """
     if line_mode:
         return spark.read.text(path).where("value <> ''").select(F.col("value").alias("body"), F.input_file_name().alias("path"))
-    rows = spark.read.csv(path, schema=MESSAGE, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    return rows.withColumn("path", F.input_file_name())
+    rows = spark.read.csv(path, schema=MESSAGE, header=True, **_CSV)
+    return rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in FIELDS), F.input_file_name().alias("path"))
 
 
 def lenient_texts(spark: SparkSession, path: str) -> DataFrame:
     """(text) of CSV files whose header names a ``text`` column in any case; ragged rows are kept."""
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False)
+    rows = spark.read.csv(path, header=True, inferSchema=False, **_CSV)
     name = next((c for c in rows.columns if c.strip().lower() == "text"), None)
     if name is None:
         raise ValueError(f"no text column in {path}")

@@ -55,7 +55,7 @@ def parse_messages(raw: DataFrame, body: str = "body") -> DataFrame:
     names = [f"c{i}" for i in range(len(raw.columns))]
     keep = [(i, c) for i, c in zip(names, raw.columns) if c not in (body, *made)]
     rows = raw.toDF(*names).withColumn("_f", _fields(F.col(names[raw.columns.index(body)]))).where(F.size("_f") >= LEAST_FIELDS)
-    at = lambda k: F.col("_f")[k]
+    at = lambda k: F.get("_f", F.lit(k))
     rows = rows.where((at(0) != "id_str") & (at(1) != "created_at")).withColumn("_u", message_seconds(at(1))).where("_u IS NOT NULL")
     shown = (at(0), F.col("_u"), at(2), at(3), at(4), at(5) == "True")
     return rows.select(*(F.col(i).alias(c) for i, c in keep), *(c.alias(n) for c, n in zip(shown, made)))

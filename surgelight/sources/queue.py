@@ -6,7 +6,8 @@ The queue is reached through a client, a class with ``__init__(options)``, ``lat
 asks again after a failure. A client may also cut a range of offsets into parts that are read apart from each other, by
 ``parts(start, end, n) -> list`` and ``read(part) -> iterable of bodies``.
 
-``FolderClient`` replays the lines of the files of a shared folder in order of their names, and publishes to a new file of it.
+``FolderClient`` replays the lines of the files of a shared folder in order of their names, and publishes to a new file of it;
+``LogClient`` does the same for bodies that may have line breaks.
 ``BrokerClient`` drains an AMQP broker (with the package pika) into such a folder before it acknowledges, so that nothing is
 lost and everything can be read again. Publishing the same task again replaces its messages in a folder; a broker may get
 them twice, as any queue that delivers at least once.
@@ -107,12 +108,21 @@ class FolderClient:
         return {"name": self.path.rstrip("/").rsplit("/", 1)[-1], "messages": self.latest(), "consumers": 0}
 
 
-class BrokerClient(FolderClient):
+class LogClient(FolderClient):
+    """A folder of messages of any content: line breaks inside a body are kept as escapes, one line for each message."""
+
+    def read(self, part: tuple) -> Iterator[str]:
+        return map(_unescaped, super().read(part))
+
+    def publish(self, name: str, bodies: Iterable[str]) -> int:
+        return super().publish(name, map(_escaped, bodies))
+
+
+class BrokerClient(LogClient):
     """A durable queue of an AMQP broker. Options: host, port, username, password, queue, exchange, ``path`` (the shared folder), ``drain`` (messages taken at a time).
 
     ``latest`` moves what waits in the queue into a new file of the folder and acknowledges it only then: what is not
     acknowledged after a failure is delivered again, at least once, and the repeated delivery is settled by its identifier later.
-    Line breaks inside a body are kept as escapes in the file (one line for each message).
     """
 
     def __init__(self, options: dict[str, str]):
@@ -141,7 +151,7 @@ class BrokerClient(FolderClient):
                     method, _, body = channel.basic_get(queue=queue, auto_ack=False)
                     if method is None:
                         break
-                    bodies.append(_escaped(body.decode("utf-8", "replace")))
+                    bodies.append(body.decode("utf-8", "replace"))
                     tag = method.delivery_tag
                 if not bodies:
                     break
@@ -151,9 +161,6 @@ class BrokerClient(FolderClient):
             connection.close()
         return super().latest()
 
-    def read(self, part: tuple) -> Iterator[str]:
-        return map(_unescaped, super().read(part))
-
     def publish(self, name: str, bodies: Iterable[str]) -> int:
         pika, connection, channel = self._channel()
         n = 0

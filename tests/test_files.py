@@ -2,6 +2,7 @@ import csv
 import datetime as dt
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,8 +102,12 @@ def test_busy_file_statistics_and_marker(spark, tmp_path):
 
 def test_token_files_and_state(spark, tmp_path):
     s = Settings(window=4, token_persist_files=2)
-    df = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b")], "file_no bigint, token string")
-    sinks.write_token_files(df, str(tmp_path / "files"), s)
-    assert [(r.token, r.n) for r in spark.read.parquet(str(tmp_path / "files")).collect()] == [("a", 2)]
+    df = spark.createDataFrame([(2, 0, "b", 0), (1, 0, "a", 0), (3, 0, "c", 1), (4, 0, "d", 1), (5, 0, "e", 2)], "seq int, pos int, token string, file_no bigint")
+    path = str(tmp_path / "files")
+    assert sinks.write_token_files(df, path, s) == 2 and sinks.write_token_files(df, path, s) == 4
+    assert sorted(n for n in os.listdir(path) if not n.startswith(".")) == [f"token_batch_{i:06d}" for i in range(4)]
+    assert [r.token for r in files.read_token_files(spark, f"{path}/token_batch_000002").collect()] == ["a", "b"]
+    sinks.keep_last_files(spark, path, s)
+    assert sorted(r.token for r in files.read_token_files(spark, f"{path}/*").collect()) == ["a", "b", "c", "d"]
     sinks.write_state(df, str(tmp_path), "counts")
-    assert files.read_state(spark, str(tmp_path), "counts").count() == 3
+    assert files.read_state(spark, str(tmp_path), "counts").count() == 5
