@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields
 from typing import Any
 
@@ -82,13 +83,16 @@ class Settings:
 
     @classmethod
     def read(cls, path: str) -> Settings:
-        """From a YAML file; ``log_dir`` must be given."""
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("reading a configuration file needs PyYAML; build Settings directly instead") from e
+        """From a YAML file, or a JSON file of the same form (``.json``); ``log_dir`` must be given."""
         with open(path, encoding="utf-8") as f:
-            values = yaml.safe_load(f) or {}
+            if path.endswith(".json"):
+                values = json.load(f) or {}
+            else:
+                try:
+                    import yaml
+                except ImportError as e:
+                    raise RuntimeError("reading a YAML file needs PyYAML; use JSON, or build Settings directly") from e
+                values = yaml.safe_load(f) or {}
         if not values.get("log_dir"):
             raise ValueError("log_dir is required")
         return cls.of(values)

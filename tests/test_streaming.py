@@ -1,3 +1,6 @@
+import dataclasses
+import datetime as dt
+import json
 import random
 import sys
 from types import SimpleNamespace
@@ -5,12 +8,15 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+import surgelight.__main__ as program
 from surgelight.config import Settings
 from surgelight.functions.text import tokens
 from surgelight.plans import pipeline
 from surgelight.sources.queue import BrokerClient, FolderClient, QueueSource
 from surgelight.sources.strict import load_strict
+from surgelight.streaming import engine
 from surgelight.streaming.engine import BusyStream
+from surgelight.streaming.statistics import statistics
 
 
 def _messages(n):
@@ -37,6 +43,78 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_state_stays_small_and_a_broken_epoch_is_done_again(spark, tmp_path, monkeypatch):
+    """Over many epochs old parts go, and the results are still those of one batch run."""
+    monkeypatch.setattr(engine, "MERGE", 3)
+    s = dataclasses.replace(_settings(tmp_path), window_batches=1)
+    df = spark.createDataFrame(_messages(160), "seq bigint, text string")
+    want = {tuple(r) for r in pipeline.busy_of_windows(df, s).select("batch", "class", "token").collect()}
+    tokenised = df.select("seq", tokens(F.col("text"), s).alias("tokens")).cache()
+    stream = BusyStream(spark, s)
+    for epoch in range(8):
+        part = tokenised.where(F.col("seq").between(epoch * 20, epoch * 20 + 19))
+        if epoch == 5:  # lost before its marker
+            with monkeypatch.context() as m:
+                m.setattr(stream.folder, "write", lambda *a: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    stream.process(part, epoch)
+            stream = BusyStream(spark, s)
+        stream.process(part, epoch)
+    assert {tuple(r) for r in stream.busy().collect()} == want and want
+    state = stream.state()
+    assert state["messages"] == 160 and state["words"] == tokenised.select(F.explode("tokens")).distinct().count()
+    for table in ("messages", "files", "words", "classes"):
+        assert len(stream.folder.names(table)) <= 5
+    assert sorted(r.seq for r in stream.recent().collect()) == list(range(140, 160))
+    with pytest.raises(ValueError):
+        stream.folder.write("owner", "another")
+        stream.start(None, "mine")
+
+
+def test_warm_start(spark, tmp_path):
+    s = dataclasses.replace(_settings(tmp_path), state_dir=str(tmp_path / "one"))
+    df = spark.createDataFrame(_messages(120), "seq bigint, text string")
+    tokenised = df.select("seq", tokens(F.col("text"), s).alias("tokens"))
+    one = BusyStream(spark, s)
+    assert one.saved_counts().count() == 0
+    one.process(tokenised, 0)
+    saved = one.saved_counts()
+    assert saved.agg(F.sum("n")).first()[0] == s.window  # the window of the last rebuild
+    cold, warm = (BusyStream(spark, dataclasses.replace(s, state_dir=str(tmp_path / n))) for n in ("cold", "warm"))
+    assert warm.warm_start(saved) and not cold.warm_start(saved.limit(1))
+    for stream in (cold, warm):
+        stream.process(tokenised, 0)
+    early, late = ({r.batch for r in x.busy().collect()} for x in (warm, cold))
+    assert min(early) < min(late)
+    assert not warm.warm_start(saved)
+    common = lambda x: {tuple(r) for r in x.busy().where(f"batch >= {min(late)}").collect()}
+    assert common(warm) == common(cold)
+
+
+def test_program(spark, tmp_path):
+    rows = [f'"{i}","Tue Jan 03 15:04:05 +0000 2006","u","0","{t}","False","0","0","0","w"' for i, t in _messages(60)]
+    (tmp_path / "queue").mkdir()
+    (tmp_path / "queue" / "a.csv").write_text("\n".join(["id_str,created_at", *rows]))
+    (tmp_path / "words.txt").write_text("# none\nsurging\n")
+    s = _settings(tmp_path)
+    values = {k: getattr(s, k) for k in ("batch", "window", "token_persist_files", "rebuild_every_files", "freq_classes", "bw_array_len", "z_score")}
+    values |= {"log_dir": str(tmp_path / "logs"), "persistence": {"state_dir": str(tmp_path / "state")}, "filter": {"enabled": True, "filter_file": str(tmp_path / "words.txt")}}
+    (tmp_path / "c.json").write_text(json.dumps(values))
+    path = program.main([str(tmp_path / "c.json"), str(tmp_path / "queue"), str(tmp_path / "checkpoint"), "--option", "maxMessagesPerTrigger=25", "--option", f"progressPath={tmp_path}/progress"])
+    got = spark.read.csv(path, header=True)
+    assert got.count() == 3 * 2 and "surging" not in str(got.collect())
+    stats = (tmp_path / "logs" / "stats.csv").read_text().splitlines()
+    assert stats[0] == "timestamp,total_tweets,total_tokens,distinct_tokens" and stats[-1].split(",")[1] == "60"
+
+
+def test_statistics(spark):
+    rows = [(1, ["a", "b"]), (29, ["a"]), (30, None), (95, ["c", "", None]), (None, ["z"])]
+    df = spark.createDataFrame([(None if t is None else dt.datetime(2020, 1, 1) + dt.timedelta(seconds=t), k) for t, k in rows], "t timestamp, tokens array<string>")
+    got = [(str(r.until)[-8:], *r[1:]) for r in statistics(df, "t").orderBy("until").collect()]
+    assert got == [("00:00:30", 2, 3, 2, 0.066667), ("00:01:00", 3, 3, 2, 0.033333), ("00:02:00", 4, 4, 3, 0.033333)]
+    assert statistics(df.limit(0), "t").count() == 0
+
+
 def test_structured_streaming_over_a_queue(spark, tmp_path):
     s = _settings(tmp_path)
     queue = tmp_path / "queue"
@@ -51,7 +129,7 @@ def test_structured_streaming_over_a_queue(spark, tmp_path):
     query = stream.start(messages, str(tmp_path / "checkpoint"), once=False)
     query.processAllAvailable()
     query.stop()
-    assert stream.log(100).count() == 60
+    assert stream.state()["messages"] == 60
     df = spark.createDataFrame(_messages(60), "seq bigint, text string")
     want = {tuple(r) for r in pipeline.busy_of_windows(df, s).select("batch", "class", "token").collect()}
     assert {tuple(r) for r in stream.busy().collect()} == want
