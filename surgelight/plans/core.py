@@ -13,8 +13,9 @@ from surgelight.functions import keys, text
 from surgelight.functions.text import SPACE
 from surgelight.operators import busy, frequency, order
 from surgelight.plans import pipeline
-from surgelight.plans.general import PARSED
+from surgelight.plans.general import LOADED, PARSED
 from surgelight.sources import files
+from surgelight.sources.messages import parse_messages
 from surgelight.session import materialised, shared_folder
 from surgelight.streaming.engine import BusyStream
 
@@ -50,6 +51,26 @@ def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tweets(spark, sf_dir).select("seq", text.normalised_space(t).alias("even"), *(c.alias(k) for k, c in text.pattern_counts(t).items()), text.alphabetic_words(t).alias("words"))
 
 
+def rejection_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.rejection_totals(_tweets(spark, sf_dir), SETTINGS, "text", _words(spark, sf_dir))
+
+
+#: Rules under which those fire that cleaned tokens of the shipped settings never meet.
+STRICT_RULES = dataclasses.replace(SETTINGS.token_filters, min_character_diversity=0.6, min_character_diversity_lower_limit=5, max_case_alternations=0.9)
+
+
+def raw_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rule that rejects each raw piece of ASCII characters, as the rules stand alone: tags and links reach them whole."""
+    w = F.col("w")
+    rows = _tweets(spark, sf_dir).select(F.explode(text.fields(F.col("text"))).alias("w")).where(w.rlike(r"^[\x21-\x7e]+$"))
+    return rows.groupBy(F.coalesce(text.rejection(w, STRICT_RULES), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def changed_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list with words added and taken out."""
+    return files.changed_words(word_list(spark, sf_dir), ["Surgelight", " lol ", ""], ["The", "RT", "u"])
+
+
 def tweet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = text.tokens(F.col("text"), SETTINGS, _words(spark, sf_dir))
     return _tweets(spark, sf_dir).select("seq", F.posexplode(tokens).alias("pos", "token"))
@@ -80,21 +101,23 @@ def without_listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------- sources
 
 
-def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tweets as raw event lines, with the other kinds of lines among them."""
-    t = _tweets(spark, sf_dir).where("text IS NOT NULL AND id_str IS NOT NULL")
-    event = F.to_json(F.struct("id_str", "text", F.struct(F.coalesce("user_id_str", F.lit("")).alias("id_str")).alias("user"), F.coalesce("retweet_count", F.lit(0)).alias("retweet_count")))
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tweet as a raw event line (without the keys of null fields), and lines of the other kinds among them."""
+    t = _tweets(spark, sf_dir)
+    user = F.struct(F.coalesce("user_id_str", F.lit("")).alias("id_str")).alias("user")
+    event = F.to_json(F.struct("id_str", "text", user, F.coalesce("retweet_count", F.lit(0)).alias("retweet_count")))
     k = F.col("seq") % 7
-    line = F.when(k == 1, '{"delete":{"status":null}},').when(k == 2, '{"scrub_geo":null}').when(k == 3, "  ").when(k == 4, "[").when(k == 5, F.concat(event, F.lit(","))).when(k == 6, '{"id_str": 1, "text"').otherwise(event)
-    return t.select("seq", line.alias("value"))
+    junk = F.when(k == 1, '{"delete":{"status":null}},').when(k == 2, '{"scrub_geo":null}').when(k == 3, "  ").when(k == 4, "[").when(k == 6, '{"id_str": 1, "text"')
+    lines = F.array_compact(F.array(F.when(k == 5, F.concat(event, F.lit(","))).otherwise(event), junk))
+    return t.select("seq", F.explode(lines).alias("value"))
 
 
 def event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.event_counts(files.parse_events(_raw_lines(spark, sf_dir)))
+    return files.event_counts(files.parse_events(raw_lines(spark, sf_dir)))
 
 
 def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = files.parse_events(_raw_lines(spark, sf_dir)).where("kind = 'event'")
+    events = files.parse_events(raw_lines(spark, sf_dir)).where("kind = 'event'")
     return events.select("seq", "id_str", "user_id_str", "retweet_count", "retweeted", "text", "at", "http", "hashtag")
 
 
@@ -108,6 +131,11 @@ def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tweets.select("line_no", "unix", "retweeted", "retweet_count", F.array_join("tokens", " ").alias("tokens"))
 
 
+def loaded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tolerant parser makes of the bodies."""
+    return parse_messages(_table(spark, sf_dir, "csv_messages")).select("line_no", "id_str", "unix", "user_id_str", "text", "retweeted")
+
+
 def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.in_time_order(_table(spark, sf_dir, "source_files").select("path"))
 
@@ -267,6 +295,18 @@ def inspected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.inspect_tokens(frequency.token_rows(_tweets(spark, sf_dir)))
 
 
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Busy words by the classes of the saved counts; tokens that these do not know belong to the least frequent class."""
+    settings = dataclasses.replace(SETTINGS, unknown_tokens="least_frequent")
+    counts = materialised(busy.batch_counts(order.with_batch(_tweets(spark, sf_dir).select("seq", "tokens"), settings)), "counts")
+    return busy.busy_words(counts, frequency.frequency_classes(saved_counts(spark, sf_dir), settings.freq_classes), settings)
+
+
+def busy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A printable line for each batch."""
+    return busy.summary_lines(busy_words(spark, sf_dir))
+
+
 def busy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return busy.summary(busy_words(spark, sf_dir))
 
@@ -300,10 +340,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_fields, tweet_tokens, token_rejections, simple_tokens, word_list, without_listed_words, event_kinds, parsed_events, message_counts, message_tokens,
+        text_fields, tweet_tokens, token_rejections, rejection_totals, raw_rejections, changed_word_list, simple_tokens, word_list, without_listed_words, event_kinds, parsed_events, message_counts, message_tokens, loaded_messages,
         file_order, three_part_keys, key_owners, token_counts, token_totals, saved_counts, moved_counts, frequency_classes, adaptive_classes, class_sizes, class_lookup,
         top_tokens, growth_curve, batches, token_files, recent_tweets, sliding_counts, coded_counts, window_classes, class_tokens, counters, counter_stats, hot_positions,
-        busy_words, busy_words_documents, busy_words_windows, stream_busy_words, inspected_tokens, busy_summary, busy_rows, busy_messages, busy_clusters,
+        busy_words, busy_words_documents, busy_words_windows, stream_busy_words, inspected_tokens, unknown_words, busy_lines, busy_summary, busy_rows, busy_messages, busy_clusters,
     )
 }
 
@@ -387,7 +427,8 @@ _FILES = f"""{_TWEET_TOKENS}, filed AS MATERIALIZED (SELECT seq, token, (row_num
 fc AS MATERIALIZED (SELECT file_no, token, count(*) AS n FROM filed GROUP BY ALL)"""
 _AT = "marks AS (SELECT unnest(range(10, (SELECT max(file_no) FROM fc) + 1, 5)) AS rebuild)"
 _SLIDING = f"{_FILES}, {_AT}, used AS MATERIALIZED (SELECT rebuild, token, CAST(sum(n) AS BIGINT) AS n FROM marks JOIN fc ON file_no >= rebuild - 10 AND file_no < rebuild GROUP BY ALL)"
-_LINE_KIND = "CASE seq % 7 WHEN 1 THEN 'delete' WHEN 2 THEN 'scrub_geo' WHEN 3 THEN 'blank' WHEN 4 THEN 'bracket' WHEN 6 THEN 'broken' ELSE 'event' END"
+_LINE_KINDS = """SELECT CASE WHEN text IS NULL OR id_str IS NULL THEN 'incomplete' ELSE 'event' END AS kind FROM tweets
+UNION ALL SELECT CASE seq % 7 WHEN 1 THEN 'delete' WHEN 2 THEN 'scrub_geo' WHEN 3 THEN 'blank' WHEN 4 THEN 'bracket' ELSE 'broken' END FROM tweets WHERE seq % 7 NOT IN (0, 5)"""
 _OCCURS = "(length({0}) - length(replace({0}, '{1}', ''))) // {2}"
 
 ORACLES = {
@@ -397,10 +438,11 @@ ORACLES = {
     "simple_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+')) AS token FROM documents) WHERE length(token) >= 2 AND NOT starts_with(token, 'http') GROUP BY token",
     "word_list": _LIST,
     "without_listed_words": f"WITH list AS ({_LIST}), {_TWEET_TOKENS}, {_COUNTS} SELECT token, n FROM cnt WHERE lower(token) NOT IN (SELECT word FROM list)",
-    "event_kinds": f"SELECT {_LINE_KIND} AS kind, count(*) AS n FROM tweets WHERE text IS NOT NULL AND id_str IS NOT NULL GROUP BY 1",
-    "parsed_events": f"SELECT seq, id_str, coalesce(user_id_str, '') AS user_id_str, CAST(coalesce(retweet_count, 0) AS VARCHAR) AS retweet_count, 'False' AS retweeted, text, CAST({_OCCURS.format('text', '@', 1)} AS VARCHAR) AS at, CAST({_OCCURS.format('text', 'http', 4)} AS VARCHAR) AS http, CAST({_OCCURS.format('text', '#', 1)} AS VARCHAR) AS hashtag FROM tweets WHERE text IS NOT NULL AND id_str IS NOT NULL AND {_LINE_KIND} = 'event'",
+    "event_kinds": f"SELECT kind, count(*) AS n FROM ({_LINE_KINDS}) GROUP BY 1",
+    "parsed_events": f"SELECT seq, id_str, coalesce(user_id_str, '') AS user_id_str, CAST(coalesce(retweet_count, 0) AS VARCHAR) AS retweet_count, 'False' AS retweeted, text, CAST({_OCCURS.format('text', '@', 1)} AS VARCHAR) AS at, CAST({_OCCURS.format('text', 'http', 4)} AS VARCHAR) AS http, CAST({_OCCURS.format('text', '#', 1)} AS VARCHAR) AS hashtag FROM tweets WHERE text IS NOT NULL AND id_str IS NOT NULL",
     "message_counts": f"WITH {PARSED} SELECT count(*) AS rows, count_if(coalesce(good, false) AND NOT header) AS good, count_if(NOT (coalesce(good, false) AND NOT header)) AS bad FROM ok",
-    "message_tokens": f"WITH {PARSED}, src AS (SELECT * FROM ok WHERE good AND NOT header), {_tokens('src', 'line_no')}, j AS (SELECT seq, string_agg(token, ' ' ORDER BY k) AS tokens FROM tok GROUP BY seq) SELECT line_no, CAST(epoch(stamp) AS BIGINT) AS unix, retweeted = 'True' AS retweeted, 0 AS retweet_count, coalesce(j.tokens, '') AS tokens FROM src LEFT JOIN j ON j.seq = line_no",
+    "message_tokens": f"WITH {LOADED}, {_tokens('src', 'line_no')}, j AS (SELECT seq, string_agg(token, ' ' ORDER BY k) AS tokens FROM tok GROUP BY seq) SELECT line_no, unix, retweeted, 0 AS retweet_count, coalesce(j.tokens, '') AS tokens FROM src LEFT JOIN j ON j.seq = line_no",
+    "loaded_messages": f"WITH {LOADED} SELECT line_no, id_str, unix, user_id_str, text, retweeted FROM src",
     "file_order": "SELECT path, name_ms, row_number() OVER (ORDER BY name_ms NULLS LAST, path) AS place FROM (SELECT path, CASE WHEN regexp_matches(path, '\\d{13}_\\d{13}') THEN CAST(regexp_extract(path, '(\\d{13})_\\d{13}', 1) AS BIGINT) ELSE epoch_ms(try_strptime(regexp_extract(path, '(\\d{8}_\\d{6})', 1), '%Y%m%d_%H%M%S')) END AS name_ms FROM source_files)",
     "three_part_keys": f"WITH {_TWEET_TOKENS}, {_COUNTS} SELECT token, {_key(1)} AS p1, {_key(2)} AS p2, {_key(3)} AS p3 FROM cnt",
     "key_owners": f"WITH {_TWEET_TOKENS}, f AS (SELECT token, min(seq) AS first_seq FROM tok GROUP BY token), x AS (SELECT token, first_seq, {_key(1, 10)} AS p1, {_key(2, 10)} AS p2, {_key(3, 10)} AS p3 FROM f) SELECT p1, p2, p3, token FROM (SELECT *, row_number() OVER (PARTITION BY p1, p2, p3 ORDER BY first_seq DESC, token DESC) AS r FROM x) WHERE r = 1",
@@ -448,3 +490,12 @@ plan AS (SELECT batch, max(rebuild) AS rebuild FROM begins JOIN marks ON rebuild
 ORACLES["stream_busy_words"] = ORACLES["busy_words_windows"]
 ORACLES["inspected_tokens"] = f"""WITH {_TWEET_TOKENS}, {_COUNTS}, o AS (SELECT token, n, length(token) > 20 AND regexp_matches(token, '[a-z][A-Z]|[A-Z][a-z].*[A-Z]') AS odd FROM cnt)
 SELECT * FROM o WHERE odd UNION ALL (SELECT * FROM o WHERE NOT odd ORDER BY token LIMIT 20)"""
+_STRICT_REASON = _REASON.replace("length(w) >= 8", "length(w) >= 5").replace("< 3e-1", "< 6e-1").replace("> 4e-1 THEN 'case'", "> 9e-1 THEN 'case'").replace("  WHEN starts_with(w, 'http')", "  WHEN starts_with(w, '#') THEN 'hashtag'\n  WHEN starts_with(w, 'http')")
+ORACLES["rejection_totals"] = f"""WITH {_tokens()}, r AS (SELECT {_REASON} AS reason FROM good)
+SELECT (SELECT CAST(sum(len({_fields('text')})) AS BIGINT) FROM tweets) AS processed, count(reason) AS rejected, {', '.join(f"count_if(reason IS NOT DISTINCT FROM '{r}') AS {r}" for r in text.REASONS)} FROM r"""
+ORACLES["raw_rejections"] = f"SELECT coalesce({_STRICT_REASON}, 'kept') AS reason, count(*) AS n FROM (SELECT unnest({_fields('text')}) AS w FROM tweets) WHERE regexp_full_match(w, '[\\x21-\\x7e]+') GROUP BY 1"
+ORACLES["changed_word_list"] = f"SELECT DISTINCT word FROM ({_LIST} UNION ALL SELECT unnest(['surgelight', 'lol'])) WHERE word NOT IN ('the', 'rt', 'u')"
+ORACLES["unknown_words"] = f"""WITH {_TWEET_TOKENS}, {_batch()}, {_HIT}, {_SAVED}, {_classes('saved', 7)},
+{_busy("SELECT batch, token, coalesce(class, 6) AS class, h.n FROM hit h LEFT JOIN cls USING (token) WHERE batch IS NOT NULL")} SELECT * FROM bw"""
+ORACLES["busy_lines"] = f"""WITH {_TWEET_BUSY}, {_busy(_BY_ALL)}, g AS (SELECT batch, class, count(*) AS words, string_agg(token, ',' ORDER BY token) AS list FROM bw GROUP BY ALL)
+SELECT batch, 'batch ' || batch || ': ' || CAST(sum(words) AS BIGINT) || ' busy words in ' || count(*) || ' classes; ' || string_agg('class ' || class || ': ' || list, '; ' ORDER BY class) AS line FROM g GROUP BY batch"""

@@ -54,8 +54,33 @@ ok AS (SELECT *, whole AND regexp_full_match(id_str, '[0-9]+') AND stamp IS NOT
   AND regexp_full_match(hashtag, '[0-9]+') AND retweeted IN ('True', 'False') AS good,
   coalesce(h1 = 'id_str' OR h2 = 'created_at', false) AS header FROM v)"""
 
+# The tolerant parser: the first record, ten fields or more, and a date.
+_LOOSE = '("(?:[^"]|"")*"|[^",\\n]*)'
+_SIX = "['id_str','created_at','user_id_str','retweet_count','text','retweeted']"
+LOADED = f"""
+even AS (SELECT line_no, regexp_replace(body, '\\r(\\n|$)', '\\1', 'g') AS b FROM csv_messages WHERE body IS NOT NULL),
+one AS (SELECT line_no, regexp_extract(b, '^\\n*{",".join([_LOOSE] * 6)}(?:,{_LOOSE.replace("(", "(?:", 1)}){{4,}}(?:\\n|$)', {_SIX}) AS x FROM even
+  WHERE regexp_matches(b, '^\\n*{",".join([_LOOSE.replace("(", "(?:", 1)] * 6)}(?:,{_LOOSE.replace("(", "(?:", 1)}){{4,}}(?:\\n|$)')),
+bare AS (SELECT line_no, {", ".join(f"CASE WHEN x['{n}'] LIKE '\"%' THEN replace(substr(x['{n}'], 2, length(x['{n}']) - 2), '\"\"', '\"') ELSE x['{n}'] END AS {n}" for n in ("id_str", "created_at", "user_id_str", "text", "retweeted"))} FROM one),
+src AS (SELECT line_no, id_str, CAST(epoch(stamp) AS BIGINT) AS unix, user_id_str, text, retweeted = 'True' AS retweeted
+  FROM (SELECT *, try_strptime(trim(regexp_replace(created_at, '\\s+', ' ', 'g')), '%a %b %d %H:%M:%S %z %Y') AS stamp FROM bare) WHERE stamp IS NOT NULL AND id_str <> 'id_str' AND created_at <> 'created_at')"""
+
 _FIRST = r"row_number() OVER (PARTITION BY regexp_replace(id_str, '[^0-9]', '', 'g') ORDER BY seq) AS r"
+_COUNTED = f"regexp_extract_all(',' || body, ',{_FIELD}', 1)"
+_QUOTES = "length(body) - length(replace(body, '\"', ''))"
+_REASONS = f"""WITH {PARSED}, n AS (SELECT *, {_COUNTED} AS parts FROM ok)
+SELECT CASE WHEN body IS NULL THEN 'body is null' WHEN regexp_full_match(body, '\\s*') THEN 'body is blank'
+  WHEN array_to_string(parts, ',') <> body AND ({_QUOTES}) % 2 = 1 THEN 'a quoted field does not end'
+  WHEN array_to_string(parts, ',') <> body THEN 'quotes or line breaks outside a quoted field'
+  WHEN len(parts) < 10 THEN 'too few fields' WHEN len(parts) > 10 THEN 'too many fields'
+  WHEN NOT regexp_full_match(id_str, '[0-9]+') THEN 'id_str is not digits'
+  WHEN stamp IS NULL OR dayname(try_strptime(substr(even, 5, 6) || ' ' || right(even, 4), '%b %d %Y'))[1:3] <> substr(even, 1, 3) THEN 'created_at is no real date'
+  WHEN user_id_str = '' THEN 'user_id_str is empty'
+  {" ".join(f"WHEN NOT regexp_full_match({chr(34)}{c}{chr(34)}, '[0-9]+') THEN '{c} is not digits'" for c in ("retweet_count", "at", "http", "hashtag"))}
+  ELSE 'retweeted is neither True nor False' END AS reason, count(*) AS n
+FROM n WHERE NOT header AND NOT coalesce(good, false) GROUP BY 1"""
 ORACLES = {
+    "p5_reasons": _REASONS,
     "p5_found": f"WITH {PARSED} SELECT line_no FROM ok WHERE NOT header AND NOT coalesce(good, false)",
     "p5_loaded": f"WITH {PARSED} SELECT line_no, id_str, CAST(epoch(stamp) AS BIGINT) AS unix, user_id_str, retweeted = 'True' AS retweeted, text FROM ok WHERE good AND NOT header",
     "p6_found": f"SELECT seq FROM (SELECT seq, {_FIRST} FROM tweets WHERE id_str IS NOT NULL) WHERE r > 1",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from surgelight.plans import core, general
+from surgelight.plans import core, general, trips
 
-QUERIES = core.QUERIES | general.QUERIES
-ORACLES = core.ORACLES | general.ORACLES
+QUERIES = core.QUERIES | trips.QUERIES | general.QUERIES
+ORACLES = core.ORACLES | trips.ORACLES | general.ORACLES
 flagship = core.flagship
