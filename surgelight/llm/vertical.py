@@ -1,10 +1,11 @@
 """Frequency of every distinct term in a vertical layout: a compressed bitmap of record numbers for each term.
 
-Every input partition numbers its records and cuts them into chunks of 65,536. For each chunk and term it builds one
-container of the record numbers inside the chunk (sorted 16-bit numbers while at most 4,096 records have the term, a bitmap of
-65,536 bits beyond) and, beside it, counts occurrences. As chunks belong to one partition, the union of a term's
-bitmaps is the set of its containers, and its document frequency is the sum of their cardinalities; Spark adds these up
-on the map side first. ``union`` merges bitmaps of overlapping record sets.
+Every input partition numbers its records and cuts them into chunks of 65,536. For each chunk and term it builds
+containers of the record numbers inside the chunk (sorted 16-bit numbers while at most 4,096 records have the term, a bitmap of
+65,536 bits beyond) and, beside them, counts occurrences. It builds them as soon as a bounded number of tokens is held, so
+a chunk of long records has several containers for a term. Containers of one term and chunk are then brought together and
+merged by union, and document frequency is read from the cardinalities of the merged ones and summed by term. A term that
+a third of all records have is spread by blocks of chunks; no task needs more than one block of it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,10 @@ CHUNK = 1 << 16
 #: A sorted list of 16-bit numbers is smaller than the bitmap up to so many records.
 SPARSE = 4096
 BITMAP_BYTES = CHUNK // 8
+#: Tokens held before containers are built.
+HELD = 1 << 21
+#: Chunks of a term that are brought to one task together: 2 ** BLOCK_BITS.
+BLOCK_BITS = 6
 
 
 def pack(records: np.ndarray) -> bytes:
@@ -47,16 +52,15 @@ def union(a: bytes, a_dense: bool, b: bytes, b_dense: bool) -> tuple[bytes, bool
     return pack(records), len(records) > SPARSE
 
 
-def cardinality(container: str, dense: str) -> Column:
-    """Records in a container, read from its length or its bits."""
-    return F.when(F.col(dense), F.bitmap_count(F.col(container))).otherwise((F.octet_length(container) / 2).cast("bigint"))
+def cardinality(container: bytes, dense: bool) -> int:
+    return int(np.bitwise_count(np.frombuffer(container, np.uint8)).sum()) if dense else len(container) // 2
 
 
 class _Chunk:
     """The records of one chunk, as (term, record) pairs of each batch."""
 
     def __init__(self, number: int):
-        self.number, self.rows = number, 0
+        self.number, self.rows, self.held = number, 0, 0
         self.terms: list[pa.Array] = []
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -69,15 +73,19 @@ class _Chunk:
         self.terms.append(words.dictionary.cast(pa.large_string()))
         self.pairs.append((codes[keep].astype(np.int64), owner[keep].astype(np.int64) + self.rows))
         self.rows += len(lists)
+        self.held += len(codes)
 
     def bitmaps(self) -> Iterator[pa.RecordBatch]:
+        """Containers of what is held; the chunk may go on after them."""
         if not self.terms:
             return
-        together = pa.chunked_array(self.terms).combine_chunks().dictionary_encode()
+        terms, pairs = self.terms, self.pairs
+        self.terms, self.pairs, self.held = [], [], 0
+        together = pa.chunked_array(terms).combine_chunks().dictionary_encode()
         to = together.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.cumsum([0, *map(len, self.terms)])
-        codes = np.concatenate([to[s : s + len(t)][c] for (c, _), s, t in zip(self.pairs, starts, self.terms)])
-        records = np.concatenate([r for _, r in self.pairs])
+        starts = np.cumsum([0, *map(len, terms)])
+        codes = np.concatenate([to[s : s + len(t)][c] for (c, _), s, t in zip(pairs, starts, terms)])
+        records = np.concatenate([r for _, r in pairs])
         if not len(codes):
             return
         both = np.sort(codes * CHUNK + records)
@@ -108,20 +116,24 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = _Chunk(number)
     for batch in batches:
         lists = batch.column(0)
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(lists):
-            take = min(CHUNK - chunk.rows, len(lists) - at)
+            before = upto[at - 1] if at else 0
+            fits = int(np.searchsorted(upto, before + HELD - chunk.held, side="right")) - at
+            take = max(1, min(CHUNK - chunk.rows, len(lists) - at, fits))
             chunk.add(lists.slice(at, take))
             at += take
-            if chunk.rows == CHUNK:
+            if chunk.rows == CHUNK or chunk.held >= HELD or at < len(lists):
                 yield from chunk.bitmaps()
+            if chunk.rows == CHUNK:
                 number += 1
                 chunk = _Chunk(number)
     yield from chunk.bitmaps()
 
 
 def term_bitmaps(df: DataFrame, terms_col: str = "tokens") -> DataFrame:
-    """(term, chunk, records, dense, occurrences): for each term and chunk of records one compressed container.
+    """(term, chunk, records, dense, occurrences): for each term and chunk of records one compressed container, or several to be merged.
 
     Every row of ``df`` is a record, repeated rows too. Null lists, empty lists, null and empty terms hold nothing.
     Terms are compared exactly as stored. Only ``terms_col`` is read.
@@ -132,10 +144,36 @@ def term_bitmaps(df: DataFrame, terms_col: str = "tokens") -> DataFrame:
     return map_arrow(df.select(F.col(f"`{terms_col}`").alias("t")), _build, schema).where("term <> ''")
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by term and chunk: (term, occurrences, records) of each merged container."""
+    last: list | None = None  # term, chunk, container, dense, occurrences of the group that may go on
+
+    def rows(groups: list[list]) -> pa.RecordBatch:
+        terms, _, boxes, dense, occurrences = zip(*groups)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(occurrences, pa.int64()), pa.array([cardinality(c, d) for c, d in zip(boxes, dense)], pa.int64())], names=["term", "occurrences", "records"])
+
+    for batch in batches:
+        done: list[list] = []
+        for group in zip(*(c.to_pylist() for c in batch.columns)):
+            if last is not None and last[1] == group[1] and last[0] == group[0]:
+                last[2], last[3] = union(last[2], last[3], group[2], group[3])
+                last[4] += group[4]
+            else:
+                if last is not None:
+                    done.append(last)
+                last = list(group)
+        if done:
+            yield rows(done)
+    if last is not None:
+        yield rows([last])
+
+
 def term_frequencies(df: DataFrame, terms_col: str = "tokens") -> DataFrame:
     """(term, occurrences, records) of every distinct term; no row for an empty table."""
     boxes = term_bitmaps(df, terms_col)
-    return boxes.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum(cardinality("records", "dense")).alias("records"))
+    met = boxes.repartition("term", F.shiftright("chunk", BLOCK_BITS)).sortWithinPartitions("term", "chunk").select("term", "chunk", "records", "dense", "occurrences")
+    merged = map_arrow(met, _merge, "term string, occurrences bigint, records bigint")
+    return merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked_terms(df: DataFrame, terms_col: str = "tokens", min_records: int = 3, max_share: float = 0.05) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -44,3 +45,16 @@ def test_more_records_than_a_chunk(spark):
     assert len(boxes) == 3 and all(b.dense for b in boxes)
     got = {r.term: r.records for r in v.term_frequencies(df).where("term IN ('hot', '7')").collect()}
     assert got == {"hot": 150_000, "7": 150}
+
+
+def test_long_records_and_containers_that_are_merged(spark, monkeypatch):
+    """With few tokens held at a time, the containers of a chunk come in parts, which meet by union."""
+    lists = [["a", "b"] * 40, ["a"], [], None, ["b", None, "c"], ["a"] * 300] * 3
+    batch = pa.record_batch([pa.array(lists, pa.list_(pa.string()))], names=["t"])
+    monkeypatch.setattr(v, "HELD", 90)
+    parts = list(v._build(iter([batch, batch])))
+    rows = sorted(r for b in parts for r in zip(*(c.to_pylist() for c in b.columns)) if r[0])
+    assert len(rows) > len({r[0] for r in rows}) and len({r[1] for r in rows}) == 1
+    table = pa.table(list(map(pa.array, zip(*rows))), names=["term", "chunk", "records", "dense", "occurrences"])
+    got = [r for b in v._merge(iter(table.to_batches(max_chunksize=2))) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == [("a", 6 * 341, 18), ("b", 6 * 41, 12), ("c", 6, 6)]
