@@ -98,10 +98,12 @@ _SPACES = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 _EMOJI = r"[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}][\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
 _WORD = rf"[\p{{L}}\p{{M}}\p{{Nd}}{_FORMS}{_HIDDEN}]*"
 _OTHER = lookalikes.OTHER_ALPHABET
+# Equivalents of other characters and single letters of syllables: changed, but no cases.
+_SAME = r"\x{340}\x{341}\x{343}\x{344}\x{374}\x{37E}\x{387}\x{958}-\x{95F}\x{9DC}\x{9DD}\x{9DF}\x{A33}\x{A36}\x{A59}-\x{A5B}\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{FB9}\x{1100}-\x{11FF}\x{1F71}-\x{1FFD}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAD9}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}"
 
 
 def _odd(c: str) -> str:
-    return f"""(regexp_matches({c}, '[{_FORMS}{_SPACES}]') OR nfc_normalize({c}) <> {c} OR regexp_matches(regexp_replace({c}, '{_EMOJI}(\\x{{200D}}{_EMOJI})+', '', 'g'), '[{_HIDDEN}]')
+    return f"""(regexp_matches({c}, '[{_FORMS}{_SPACES}]') OR nfc_normalize(regexp_replace({c}, '[{_SAME}]', '', 'g')) <> regexp_replace({c}, '[{_SAME}]', '', 'g') OR regexp_matches(regexp_replace({c}, '{_EMOJI}(\\x{{200D}}{_EMOJI})+', '', 'g'), '[{_HIDDEN}]')
   OR regexp_matches({c}, '[\\p{{Latin}}{_FORMS}]{_WORD}[{_OTHER}]|[{_OTHER}]{_WORD}[\\p{{Latin}}{_FORMS}]'))"""
 
 

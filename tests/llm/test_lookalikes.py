@@ -17,6 +17,8 @@ CASES = {
     "е́a": ("éa", {"alphabet", "accent"}),
     "x‍🌈": ("x🌈", {"hidden"}),
 }
+#: Forms that look the same but are no cases of the kinds above.
+SAME = {"300 \u212a": "300 K", "\u212bngstr\u00f6m": "\u00c5ngstr\u00f6m", "e\ufb03cient": "efficient", "\u2163 \u217c": "IV l", "\uff76\uff9e\uff77 \uff8a\uff9f": "ガキ パ", "\u1112\u1161\u11ab\u1100\u1173\u11af": "한글", "\uac00\u11a8": "각", "\uf900": "豈", "\u037e": ";"}
 UNCHANGED = ["", "plain ASCII\ttext\r\n", "дождь музыка", "ΑΛΦΑ", "café naïve", "👨‍👩‍👧 🏳️‍🌈 ❤️ 🤷‍♀️", "‘it’s’ – — … ™ 1º", "今日は rain", "x̂x"]
 KINDS = {"width": la.WIDTH, "accent": la.ACCENT, "hidden": la.HIDDEN, "space": la.SPACE, "alphabet": la.ALPHABET}
 
@@ -29,6 +31,29 @@ def test_cases(text):
     assert bits == sum(KINDS[k] for k in kinds)
 
 
+@pytest.mark.parametrize("text", SAME)
+def test_equal_looks(text):
+    got, bits = la.transducer()(text)
+    assert (got, bits) == (SAME[text], la.SAME) and la.transducer()(got) == (got, 0)
+    assert la.consistent(pa.array([text]))[0].to_pylist() == [got]
+
+
+def test_joiners_stay_where_letters_need_them():
+    text = "می\u200cخواهم a\u200cb क्\u200dष \u200cنه\u200c."
+    assert la.transducer()(text)[0] == "میخواهم ab क्ष نه."
+    kept, bits = la.transducer(keep_joiners=True)(text)
+    assert kept == "می\u200cخواهم ab क्\u200dष نه." and bits == la.HIDDEN
+    assert la.transducer(keep_joiners=True)(kept)[0] == kept
+
+
+def test_states_are_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(la, "STATES", 8)
+    t = la.Transducer()
+    text = "".join(chr(0xFF21 + i) + "\u0301" for i in range(26))
+    want = la.transducer()(text)
+    assert t(text) == want and t(text) == want and len(t.states) <= 9
+
+
 @pytest.mark.parametrize("text", UNCHANGED)
 def test_not_cases(text):
     got, bits = la.transducer()(text)
