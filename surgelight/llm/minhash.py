@@ -6,9 +6,12 @@
    texts have fill the buckets with pairs that step 4 rules out.
 3. Each task signs its classes once and packs, for every target partition, the band hashes (sorted) and the class,
    size and word bitmap of the records behind them into one binary row. The shuffle carries these rows.
+   A key that very many records have is cut into cells before that: its records fall into g groups, each pair of groups
+   is a cell with a key of its own, and a record goes to the g cells of its group. So no task gathers a hot bucket. Which
+   keys are hot is told by one record in 2,048; a wrong guess costs time and loses nothing, as every bucket is worked off in full.
 4. A partition sorts its band hashes; records of equal hash are compared if their sizes and bitmaps allow the
    similarity. Both tests are exact bounds (the number of differing bits never exceeds that of differing words), so they lose
-   no pair. A bucket with very many records is cut into pairs of blocks, which are spread over all tasks.
+   no pair. A bucket of more than BLOCK records is cut into pairs of blocks, which are spread over all tasks.
 5. The remaining class pairs are made distinct and verified on the full sets.
 
 Bands: with r rows each, the least number that finds a pair at the threshold with probability ``recall``.
@@ -31,7 +34,13 @@ from surgelight.llm.lookalikes import consistent
 from surgelight.session import checkpointed, map_arrow, materialised, shuffle_partitions
 
 #: Records of one bucket that are compared in place; larger buckets are cut into blocks of this size.
-BLOCK = 2048
+BLOCK = 8192
+#: Records of a group of a hot key; a key is hot from twice as many on. One record in SAMPLE tells which are.
+GROUP, SAMPLE = 1 << 15, 2048
+#: Hot keys that are told to all tasks at most (the hottest).
+HOT_KEYS = 1 << 18
+#: From this many records on a bucket is compared as a matrix.
+MATRIX = 48
 #: Classes packed together at most, and bytes of their words.
 PACK, PACK_BYTES = 1 << 15, 16 << 20
 #: Band hashes that one task brings together, about.
@@ -144,18 +153,28 @@ def _may_match(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return (a["cls"] != b["cls"]) & (np.abs(na - nb) <= unlike) & (bits <= unlike)
 
 
-def _block_pairs(left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Classes of the pairs that may match: of ``left`` with ``right``, or within ``left``."""
-    step = max(1, (1 << 20) // max(1, len(left if right is None else right)))
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        other = left if right is None else right
-        i, j = np.divmod(np.arange(len(rows) * len(other)), len(other))
-        if right is None:
-            later = j > i + at
-            i, j = i[later], j[later]
-        ok = _may_match(rows[i], other[j], threshold)
-        yield rows["cls"][i[ok]], other["cls"][j[ok]]
+def _matrix_pairs(left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes of the pairs that may match: of ``left`` with ``right``, or within ``left``. By the same bounds as ``_may_match``, sets in order of size, so that sizes too far apart are not looked at."""
+    rows = left[np.argsort(left["n"], kind="stable")]
+    columns = rows if right is None else right[np.argsort(right["n"], kind="stable")]
+    sizes = columns["n"].astype(np.float32)
+    planes = [(rows[f].copy(), columns[f].copy()) for f in ("bits", "more") if f in left.dtype.names]
+    a, b = rows["cls"].copy(), columns["cls"].copy()
+    factor = np.float32((1 - threshold) / (1 + threshold))
+    step = max(1, (1 << 19) // max(1, len(columns)))
+    for at in range(0, len(rows), step):
+        own = rows["n"][at : at + step].astype(np.float32)
+        low = at if right is None else int(np.searchsorted(sizes, np.floor(own[0] * threshold) - 1))
+        high = int(np.searchsorted(sizes, np.ceil(own[-1] / threshold) + 1, side="right"))
+        if low >= high:
+            continue
+        unlike = factor * (own[:, None] + sizes[None, low:high]) + np.float32(1e-3)
+        differ = sum(np.bitwise_count(x[at : at + step, None] ^ y[None, low:high]) for x, y in planes)
+        ok = (differ <= unlike) & (np.abs(own[:, None] - sizes[None, low:high]) <= unlike)
+        i, j = np.nonzero(ok)
+        i, j = i + at, j + low
+        fit = a[i] != b[j] if right is not None else j > i
+        yield a[i[fit]], b[j[fit]]
 
 
 def _bucket_pairs(hashes: np.ndarray, entries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray] | tuple[bytes, bytes | None]]:
@@ -167,7 +186,7 @@ def _bucket_pairs(hashes: np.ndarray, entries: np.ndarray, threshold: float) ->
     hashes, entries = hashes[fresh], entries[fresh]
     starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, int)
     sizes = np.diff(np.append(starts, len(hashes)))
-    small = (sizes > 1) & (sizes <= BLOCK)
+    small = (sizes > 1) & (sizes < MATRIX)
     # small buckets: step d compares each record with the one d places on, all buckets at once
     place = np.arange(len(hashes)) - np.repeat(starts, sizes)
     left_over = np.repeat(np.where(small, sizes, 0), sizes) - place - 1
@@ -181,7 +200,10 @@ def _bucket_pairs(hashes: np.ndarray, entries: np.ndarray, threshold: float) ->
                 yield a["cls"][ok], b["cls"][ok]
         step += 1
         at = at[left_over[at] >= step]
-    for s, n in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK]):
+    for s, n in zip(starts[sizes >= MATRIX], sizes[sizes >= MATRIX]):
+        if n <= BLOCK:
+            yield from _matrix_pairs(entries[s : s + n], None, threshold)
+            continue
         blocks = [entries[i : min(i + BLOCK, s + n)] for i in range(s, s + n, BLOCK)]
         for i, left in enumerate(blocks):
             yield left.tobytes(), None
@@ -189,12 +211,51 @@ def _bucket_pairs(hashes: np.ndarray, entries: np.ndarray, threshold: float) ->
                 yield left.tobytes(), right.tobytes()
 
 
+class HotKeys:
+    """Band keys that many records have, each with its number of groups."""
+
+    def __init__(self, keys: np.ndarray, groups: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.groups = keys[order], groups[order]
+
+    def cells(self, keys: np.ndarray, records: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and records, those of hot keys replaced by the cells of the record's group."""
+        if not len(self.keys):
+            return keys, records
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hot = self.keys[at] == keys
+        g = self.groups[at[hot]]
+        key, record = np.repeat(keys[hot], g), np.repeat(records[hot], g)
+        other = (np.arange(len(key)) - np.repeat(np.cumsum(g) - g, g)).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            mixed = (classes[record].astype(np.uint64) ^ key) * np.uint64(0x9E3779B97F4A7C15)
+            own = (mixed >> np.uint64(33)) % np.repeat(g, g).astype(np.uint64)
+            cell = (key ^ (np.minimum(own, other) * np.uint64(0xBF58476D1CE4E5B9) + np.maximum(own, other) + np.uint64(1))) * np.uint64(0x94D049BB133111EB)
+            cell ^= cell >> np.uint64(29)
+        return np.concatenate([keys[~hot], cell]), np.concatenate([records[~hot], record])
+
+
+def hot_keys(sets: DataFrame, signer: Signer) -> HotKeys:
+    """Keys that one class in SAMPLE lets expect in more than two groups of records."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_size(batches, 0, PACK_BYTES):
+            keys, *_ = signer.sign(part.column(0).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    drawn = sets.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0).dropDuplicates(["cls"]).select("words")
+    counts = map_arrow(drawn, sign, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * GROUP / SAMPLE)
+    rows = counts.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+    return HotKeys(np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([-(-r.n * SAMPLE // GROUP) for r in rows], np.int64))
+
+
 def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float) -> DataFrame:
     """Distinct (a, b), a < b: classes with a common band whose sizes and bitmaps allow the similarity."""
     spark = sets.sparkSession
     bands = bands_for(threshold, rows, recall)
     parts = max(shuffle_partitions(spark), math.ceil(sets.count() * bands / TASK_HASHES))
     signer = Signer(rows, bands)
+    hot = hot_keys(sets, signer)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -207,6 +268,7 @@ def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float)
             keys, records, bits, more, sizes = signer.sign(words.cast(pa.string()))
             entries = np.empty(len(classes), _SENT)
             entries["cls"], entries["bits"], entries["more"], entries["n"] = classes, bits, more, np.minimum(sizes, 65535)
+            keys, records = hot.cells(keys, records, classes)
             target = (keys % np.uint64(parts)).astype(np.int64)
             hashes = (keys >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(target, kind="stable")
@@ -253,7 +315,7 @@ def candidate_pairs(sets: DataFrame, threshold: float, rows: int, recall: float)
             yield pa.RecordBatch.from_arrays([a.filter(plain), b.filter(plain)], names=["a", "b"])
             for x, y in zip(left.drop_null().to_pylist(), right.filter(pc.invert(plain)).to_pylist()):
                 block = np.frombuffer(x, _SENT)
-                for one, two in _block_pairs(block, None if y is None else np.frombuffer(y, _SENT), threshold):
+                for one, two in _matrix_pairs(block, None if y is None else np.frombuffer(y, _SENT), threshold):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
     packed = map_arrow(sets.select("cls", "words"), sign, "p int, packed binary").repartitionById(parts, "p")

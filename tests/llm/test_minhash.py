@@ -45,8 +45,13 @@ def test_pairs_against_brute_force(spark):
     assert len(set(got)) >= 0.99 * len(want) and len(want) > 50
 
 
-def test_a_hot_group_of_copies_and_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("cells", [False, True])
+def test_a_hot_group_of_copies_and_near_copies(spark, monkeypatch, cells):
+    """With small blocks, and with the keys of the group cut into cells before they meet."""
     monkeypatch.setattr(m, "BLOCK", 16)
+    if cells:
+        monkeypatch.setattr(m, "GROUP", 8)
+        monkeypatch.setattr(m, "SAMPLE", 1)
     base = [f"word{i}" for i in range(40)]
     rows = [(i, " ".join(base) if i < 30 else " ".join([*base[:-1], f"own{i}"]), i) for i in range(90)]
     df = spark.createDataFrame(rows, "id bigint, text string, seq bigint")
@@ -71,6 +76,40 @@ def test_a_hot_group_whose_copies_have_many_own_words(spark, base, own):
     assert got <= want and len(want) >= 59 and len(got) >= 0.97 * len(want)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 2000)), max_size=60), st.integers(1, 7))
+def test_cells_keep_every_pair_of_a_hot_key(pairs, groups):
+    pairs = sorted(set(pairs))
+    keys, records = np.array([k for k, _ in pairs], np.uint64), np.array([r for _, r in pairs], np.int64)
+    hot = m.HotKeys(np.array([3, 1], np.uint64), np.array([groups, 2], np.int64))
+    cells, members = hot.cells(keys, records, np.arange(2001) * 7919 - 5)
+
+    def met(ks, rs):
+        groups = [[r for q, r in zip(ks, rs) if q == k] for k in set(ks)]
+        return {(a, b) for g in groups for a in g for b in g if a < b}
+
+    assert met(cells.tolist(), members.tolist()) >= met(keys.tolist(), records.tolist())
+    assert max((cells == c).sum() for c in cells) <= len(pairs) if len(cells) else not pairs
+    for k in (2, 4):
+        assert sorted(members[cells == k].tolist()) == sorted(r for q, r in pairs if q == k)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.booleans())
+def test_the_matrix_finds_what_the_pair_test_finds(seed, crossed):
+    r = np.random.default_rng(seed)
+    entries = np.zeros(60, m._SENT)
+    base = r.integers(0, 1 << 62, 6, dtype=np.uint64)
+    for f in ("bits", "more"):
+        entries[f] = base[r.integers(0, 6, 60)] ^ (np.uint64(1) << r.integers(0, 60, 60, dtype=np.uint64))
+    entries["cls"], entries["n"] = np.arange(60), r.integers(10, 40, 60)
+    left, right = (entries[:25], entries[25:]) if crossed else (entries, None)
+    got = {tuple(sorted(p)) for a, b in m._matrix_pairs(left, right, 0.6) for p in zip(a.tolist(), b.tolist())}
+    other = left if right is None else right
+    want = {tuple(sorted((x["cls"], y["cls"]))) for x in left for y in other if x["cls"] != y["cls"] and m._may_match(np.array([x]), np.array([y]), 0.6)[0]}
+    assert got == want
+
+
 def test_groups(spark):
     base = [f"a{i}" for i in range(20)]
     chain = [base, base[3:] + ["x1", "x2", "x3"], base[6:] + ["x1", "x2", "x3", "y1", "y2", "y3"]]
@@ -134,13 +173,14 @@ def test_packing(pairs):
 @pytest.mark.parametrize("size", [2, 5, 16, 17, 50])
 def test_every_pair_of_a_bucket(size, monkeypatch):
     monkeypatch.setattr(m, "BLOCK", 16)
+    monkeypatch.setattr(m, "MATRIX", 4)
     entries = np.zeros(size, m._ENTRY)
     entries["cls"], entries["n"] = np.arange(size), 10
     got = set()
     for a, b in m._bucket_pairs(np.zeros(size, np.uint32), entries, 0.6):
         if isinstance(a, bytes):
             right = None if b is None else np.frombuffer(b, m._ENTRY)
-            for x, y in m._block_pairs(np.frombuffer(a, m._ENTRY), right, 0.6):
+            for x, y in m._matrix_pairs(np.frombuffer(a, m._ENTRY), right, 0.6):
                 got |= {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
         else:
             got |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
