@@ -107,7 +107,34 @@ def _odd(c: str) -> str:
   OR regexp_matches({c}, '[\\p{{Latin}}{_FORMS}]{_WORD}[{_OTHER}]|[{_OTHER}]{_WORD}[\\p{{Latin}}{_FORMS}]'))"""
 
 
+def _translate(c: str, kind: int) -> str:
+    """The rules of one kind from single characters to single ones, as ``translate``."""
+    rules = [(k, v) for k, (v, x) in lookalikes.mapping().items() if x == kind and len(k) == 1 and len(v) == 1]
+    a, b = ("".join(x).replace("'", "''") for x in zip(*rules))
+    return f"translate({c}, '{a}', '{b}')"
+
+
+def _form(c: str) -> str:
+    """The consistent form: joiners inside emoji are set aside while invisible characters go, look-alikes change in mixed words."""
+    pair = rf"({_EMOJI})\x{{200D}}([\x{{2190}}-\x{{2BFF}}\x{{1F000}}-\x{{1FAFF}}])"
+    aside = f"regexp_replace(regexp_replace({c}, '{pair}', '\\1\ue000\\2', 'g'), '{pair}', '\\1\ue000\\2', 'g')"
+    shown = f"replace(regexp_replace({aside}, '[{_HIDDEN}]', '', 'g'), '\ue000', '\u200d')"
+    even = _translate(_translate(shown, lookalikes.SPACE), lookalikes.WIDTH)
+    word = r"[\p{L}\p{M}\p{Nd}]"
+    mixed = rf"regexp_matches(w, '\p{{Latin}}') AND regexp_matches(w, '[{_OTHER}]') AND regexp_matches(w, '\p{{L}}')"
+    parts = f"list_transform(regexp_extract_all({even}, '{word}+|[^\\p{{L}}\\p{{M}}\\p{{Nd}}]+'), lambda w: CASE WHEN {mixed} THEN {_translate('w', lookalikes.ALPHABET)} ELSE w END)"
+    return f"nfc_normalize(array_to_string({parts}, ''))"
+
+
+_P4 = rf"""WITH one AS (SELECT CAST(regexp_replace(id_str, '[^0-9]', '', 'g') AS BIGINT) AS id, min_by(text, seq) AS text FROM tweets WHERE regexp_matches(id_str, '[0-9]') GROUP BY 1),
+s AS MATERIALIZED (SELECT id, list_distinct(regexp_extract_all(lower({_form('text')}), '[\p{{L}}\p{{Nd}}]+')) AS words FROM one WHERE text IS NOT NULL),
+w AS MATERIALIZED (SELECT id, len(words) AS n, unnest(words) AS w FROM s WHERE len(words) >= 10),
+c AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM c WHERE c * 10 >= 6 * (na + nb - c)"""
+
 ORACLES = {
+    "p2_form": f"SELECT seq, {_form('text')} AS text, list_transform(tokens, lambda t: {_form('t')}) AS tokens FROM tweets",
+    "p4_found": _P4,
     "p2_found": f"SELECT seq, 'text' AS field FROM tweets WHERE {_odd('text')} UNION ALL SELECT seq, 'tokens' FROM tweets WHERE len(list_filter(tokens, lambda w: {_odd('w')})) > 0",
     "p3_found": f"WITH {_COUNTS} SELECT term AS token, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE records < 3 OR records > 5e-2 * (SELECT count(*) FROM tweets)",
     "p3_frequencies": f"WITH {_COUNTS} SELECT * FROM c",
