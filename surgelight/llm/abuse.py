@@ -3,8 +3,9 @@
 Confirmed abusive documents are the positive examples; all other documents of the training sample are unlabelled, a
 mixture in which the share of abuse (the class prior) is small and estimated. The risk is
 ``prior * R(P, +) + max(0, R(U, -) - prior * R(P, -))``: what the positives would cost as negatives is taken out of the
-unlabelled risk, and where the rest would turn negative it counts as nothing. Documents judged harmless share the
-negative part of the risk half and half with the unlabelled ones.
+unlabelled risk, and where the rest would turn negative it counts as nothing. The loss is the logistic one, as negative cut off
+at a bound for all examples alike (the estimator needs a bounded loss: without it single passages run away). Documents
+judged harmless are unlabelled like all others; they only set the threshold.
 
 A document is a bag of passages (sentences and lines). Its score is that of its worst passage, and the passage that
 speaks for a positive document is chosen anew by the model of the round before, so that the model learns passages although
@@ -14,6 +15,8 @@ figure-for-letter forms are undone), the same without doubled letters, and pairs
 
 from __future__ import annotations
 
+import hashlib
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -159,6 +162,20 @@ class Model:
     bias: float
     threshold: float = 0.0
 
+    def saved(self) -> bytes:
+        """For storing a trained model; ``restored`` reads it."""
+        out = io.BytesIO()
+        at = [np.flatnonzero(x) for x in (self.word, self.pair)]
+        np.savez_compressed(out, w=self.word[at[0]], p=self.pair[at[1]], at_w=at[0], at_p=at[1], rest=np.array([self.bias, self.threshold]))
+        return out.getvalue()
+
+    @classmethod
+    def restored(cls, stored: bytes) -> Model:
+        model, found = cls.empty(), np.load(io.BytesIO(stored))
+        model.word[found["at_w"]], model.pair[found["at_p"]] = found["w"], found["p"]
+        model.bias, model.threshold = found["rest"].tolist()
+        return model
+
     @classmethod
     def empty(cls) -> Model:
         return cls(np.zeros(1 << WORD_BITS), np.zeros(1 << PAIR_BITS), -2.0)
@@ -191,10 +208,10 @@ def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) / 1e6
     drawn = judged.where(place("i") < F.when(F.col("a") > 0.5, most / max(1, n.p)).otherwise(most / max(1, n.q)))
     texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    labelled = texts.join(F.broadcast(drawn), "i").select("t", "a")  # about 2 * most rows
+    labelled = texts.join(drawn, "i").select("t", "a")  # about 2 * most rows
     share = min(1.0, most_unlabelled / max(1, texts.count()))
     others = texts.where((place("i") < share) | F.col("i").isNull()) if share >= 1 else texts.where(place("i") < share)
-    others = others.join(F.broadcast(judged.select("i").where(place("i") < share)), "i", "left_anti").select("t", F.lit(None).cast("double").alias("a"))
+    others = others.join(judged.select("i").where(place("i") < share), "i", "left_anti").select("t", F.lit(None).cast("double").alias("a"))
     rows = labelled.union(others).orderBy(F.xxhash64("t"), "a").collect()
     a = np.array([np.nan if r.a is None else r.a for r in rows], float)
     return consistent(pa.array([r.t for r in rows], pa.string()))[0].to_pylist(), a > 0.5, a < 0.5
@@ -205,8 +222,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str | None], positive: np.ndarray, negative: np.ndarray, prior: float = 0.01, lean: float = 1.5, rounds: int = 3, steps: int = 120, rate: float = 2.0, shrink: float = 1e-3, bound: float = 4.0) -> Model:
-    """A model from texts of which some are confirmed abusive (``positive``) and some confirmed harmless (``negative``; they
-    set the threshold and stand among the unlabelled); the rest is unlabelled.
+    """A model from texts of which some are confirmed abusive (``positive``); all others are unlabelled. Those confirmed harmless
+    (``negative``) set the threshold.
 
     ``prior`` is the first guess of the share of abusive passages; later rounds estimate it from the shares of positives
     and of confirmed harmless documents above the threshold.
@@ -219,7 +236,7 @@ def train(texts: list[str | None], positive: np.ndarray, negative: np.ndarray, p
         model.threshold = np.inf
         return model
     features = vocabulary.features()
-    unlabelled, harmless, trusted = ~positive[bags.document], negative[bags.document], positive
+    unlabelled, trusted = ~positive[bags.document], positive
     # first choice: the passage with the words that set positive documents apart from the others
     def word_documents(of: np.ndarray) -> np.ndarray:
         use = of[bags.document][bags.passage]
@@ -240,19 +257,16 @@ def train(texts: list[str | None], positive: np.ndarray, negative: np.ndarray, p
         chosen = speaks & trusted[bags.document]
         weight_p = chosen / max(1, chosen.sum())
         weight_u = unlabelled / max(1, unlabelled.sum())
-        if harmless.any():
-            weight_u = 0.5 * weight_u + 0.5 * harmless / harmless.sum()
         model = Model.empty()
         speed = [np.zeros_like(model.word), np.zeros_like(model.pair)]
         for _ in range(steps):
             x = model.passage_scores(bags, features)
             s = _sigmoid(x)
-            # loss as positive: log(1 + exp(-x)); as negative: log(1 + exp(x)). What is taken out for the positives is
-            # constant beyond the bound, so that no single passage outweighs the rest
-            rest = float((weight_u * np.logaddexp(0, x)).sum() - share * (weight_p * np.logaddexp(0, np.minimum(x, bound))).sum())
+            # the loss as negative, log(1 + exp(x)), is constant beyond the bound, for all alike
+            low = np.logaddexp(0, np.minimum(x, bound))
             g = share * weight_p * (s - 1)
-            if rest > 0:  # else the negative part is at its bound
-                g += weight_u * s - share * weight_p * s * (x < bound)
+            if float(((weight_u - share * weight_p) * low).sum()) > 0:  # else the negative part counts as nothing
+                g += (weight_u - share * weight_p) * s * (x < bound)
             g = g / share
             by_word = np.bincount(bags.words, g[bags.passage], len(vocabulary.hashes))
             gradients = (
@@ -292,9 +306,22 @@ def _threshold(best: np.ndarray, positive: np.ndarray, negative: np.ndarray) ->
     return float(cuts[int(np.argmax(f1))])
 
 
+#: Models of this driver by the fingerprint of their sample.
+_FITTED: dict[str, Model] = {}
+
+
 def fitted(df: DataFrame, labels: DataFrame, **options: float) -> Model:
-    """A model trained on a bounded sample of the table and its judgements. Without any confirmed case nothing counts as abusive."""
-    return train(*sample(df, labels, **options))
+    """A model trained on a bounded sample of the table and its judgements. Without any confirmed case nothing counts as abusive.
+
+    The same sample gives the same model, so it is trained once in a driver and kept (a few models at most).
+    """
+    texts, positive, negative = sample(df, labels, **options)
+    mark = hashlib.sha256(repr(texts).encode("utf-8", "replace") + positive.tobytes() + negative.tobytes()).hexdigest()
+    if mark not in _FITTED:
+        while len(_FITTED) >= 4:
+            _FITTED.pop(next(iter(_FITTED)))
+        _FITTED[mark] = train(texts, positive, negative)
+    return _FITTED[mark]
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

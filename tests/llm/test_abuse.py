@@ -51,6 +51,29 @@ def test_held_out_accuracy_with_unlabelled_positives():
     assert (said & truth).sum() / said.sum() > 0.9
 
 
+def test_judged_harmless_documents_change_nothing_but_the_threshold():
+    texts, abusive = _texts(600, 4)
+    some = ~abusive & (np.arange(600) % 3 == 0)
+    one, two = ab.train(texts, abusive, some, rounds=1), ab.train(texts, abusive, np.zeros(600, bool), rounds=1)
+    assert (one.word == two.word).all() and (one.pair == two.pair).all() and one.threshold != two.threshold == 0
+
+
+def test_a_stored_model_is_the_same(monkeypatch):
+    texts, abusive = _texts(300, 5)
+    model = ab.train(texts, abusive, ~abusive, rounds=1)
+    again = ab.Model.restored(model.saved())
+    assert (again.scores(texts) == model.scores(texts)).all() and again.threshold == model.threshold
+
+
+def test_the_same_sample_is_trained_on_once(spark, monkeypatch):
+    texts, abusive = _texts(60, 6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(b)) for i, b in enumerate(abusive)], "doc_id bigint, abusive int")
+    one = ab.fitted(df, labels)
+    monkeypatch.setattr(ab, "train", lambda *a: 1 / 0)
+    assert ab.fitted(df, labels) is one
+
+
 def test_operators(spark):
     texts, abusive = _texts(600, 3)
     rows = [(i, t, "a" if i % 2 else None, 1.5) for i, t in enumerate(texts)] + [(9000, None, "a", 1.5), (9001, "", "a", 1.5), (9002, "word " * 40_000, "b", 1.5), (None, "x", "b", None), (0, texts[0], None, 1.5)]
