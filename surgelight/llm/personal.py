@@ -38,13 +38,15 @@ PLACEHOLDERS = {k: f"<{k.upper()}>" for k in KINDS}
 CUES = {
     "email": "email e-mail mail mailto contact write reach send address inbox courriel correo",
     "phone": "phone tel ph telephone call text ring whatsapp mobile cell fax number dial sms reach me on tlf teléfono téléphone handy",
-    "id_number": "passport ssn social security tax id nino national insurance dni nie nif personnummer steuer-id steuer card nr licence license forms identity pesel bsn tin sin itin driving driver",
+    "id_number": "passport ssn social security tax id nino national insurance dni nie nif personnummer steuer-id steuer card nr licence license forms identity pesel bsn tin sin itin driving driver cpf rg curp aadhaar pan nric rrn rfc cnp egn amka ahv pps nhs medicare identification social-security",
     "address": "address live lives stays parcel deliver delivered party moved outside porter come ring twice home house visit ship send wohnt adresse",
     "name": "name signed met landlord dinner booked birthday cc thanks ask saw lunch accounts desk called owes won said mr mrs from regards sincerely dear by with",
 }
-NOT_CUES = "tweet order page error build version from only sale day due distance score batch class row rows line tokens window z at invoice item ref"
+NOT_CUES = "tweet order page error build version from only sale day due distance score batch class row rows line tokens window at invoice item ref isbn iban serial part ticket parcel tracking account batch"
 # Titles before a family name.
 TITLES = "mr mrs ms miss mx dr prof professor sir dame herr frau mme mlle monsieur madame sr sra don doña señor señora signor signora rev"
+# Offices that follow a title without being a name.
+OFFICES = frozenset("president chairman chairwoman chair speaker minister secretary ambassador mayor chancellor judge justice right wrong universe".split())
 # Words that do not begin or end a name.
 COMMON = (
     "a an the and or but if so to of in on at by for from with without as is are was were be been it its this that these those my your his her our their "
@@ -70,6 +72,13 @@ _ID_FORMS = {  # public formats of numbers issued to persons
     "fr": r"[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?",
     "it": r"[a-z]{6}\d{2}[a-z]\d{2}[a-z]\d{3}[a-z]",
     "three": r"\d{3}[- ]\d{3}[- ]\d{3}",
+    "br": r"\d{3}\.\d{3}\.\d{3}-\d{2}",
+    "mx": r"[a-z]{4}\d{6}[hm][a-z]{5}[a-z0-9]\d",
+    "in_twelve": r"\d{4}([- ])\d{4}\1\d{4}",
+    "in_tax": r"[a-z]{5}\d{4}[a-z]",
+    "sg": r"[stfgm]\d{7}[a-z]",
+    "kr": r"\d{6}-\d{7}",
+    "cn": r"\d{17}x",
 }
 _W = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _AT = r"(?: ?(?:@|[\[({<] ?at ?[\])}>]) ?|\s+at\s+)"
@@ -90,6 +99,8 @@ _ADDRESS = {
 }
 _WORDS = re.compile(_W)
 _TITLE = re.compile(rf"\b({TITLES.replace(' ', '|')})\b\.?\s+(?:[^\W\d_]\.\s+){{0,2}}({_W})", re.I)
+#: What announces a name, so that two capitalised words may be one though neither is listed.
+_ANNOUNCED = re.compile(r"(?:\b(?:my name is|name's|signed|regards|sincerely|yours truly|i am called)[,:]? )\Z", re.I)
 _PAIR_GAP = re.compile(r"(?:\s|\s[^\W\d_]\.\s|,\s)\Z")
 
 
@@ -289,6 +300,8 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
             continue
         word = m[2]
         likely = names.family_like(word)
+        if word.lower() in OFFICES:
+            continue
         if not likely and not (m[1][0].isupper() and word[0].isupper() and not word.isupper()):
             continue
         f = _surroundings(text, m.start(), m.end(), "name")
@@ -298,10 +311,12 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
         f["name:title, common word"] = float(word.lower() in _COMMON)
         yield Segment(m.start(), m.end(), "name", f)
     for i in range(len(words) - 1):
+        announced = words[i][2][0].isupper() and _ANNOUNCED.search(text[max(0, words[i][0] - 20) : words[i][0]]) is not None
         for j in (i + 1, i + 2):
             if j >= len(words):
                 continue
-            if like[i] < 0.7 and like[j] < 0.7 and words[i][2].lower() not in names.given and words[j][2].lower() not in names.given:
+            listed = like[i] >= 0.7 or like[j] >= 0.7 or words[i][2].lower() in names.given or words[j][2].lower() in names.given
+            if not listed and not (announced and words[j][2][0].isupper()):
                 continue
             gap = text[words[i][1] : words[j][0]]
             if not _PAIR_GAP.match(gap) or (j == i + 2 and len(words[i + 1][2]) != 1):
@@ -310,7 +325,7 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
             given, family = (words[j][2], words[i][2]) if turned else (words[i][2], words[j][2])
             score = like[i] if turned else like[j]
             known = given.lower() in names.given
-            if score < 0.7 and not (known and family[0].isupper() and given[0].isupper() and not family.isupper()):
+            if score < 0.7 and not ((known or announced) and family[0].isupper() and given[0].isupper() and not family.isupper()):
                 continue
             a, b = words[i][0], words[j][1]
             if (a, b) in done or not outside(a, b):
@@ -325,6 +340,8 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
             f["name:given listed"] = float(known)
             f["name:both listed"] = float(known and score > 0.5)
             f[f"name:forms {form(given)} {form(family)}"] = 1.0
+            f["name:announced"] = float(announced)
+            f["name:announced, not listed"] = float(announced and not known and score < 0.7)
             f["name:turned"] = float(turned)
             f["name:turned, given unlisted"] = float(turned and not known)
             f["name:initial"] = float(j == i + 2)
@@ -339,7 +356,7 @@ def candidates(text: str, names: NameList) -> list[Segment]:
     found = [*(_addresses(text) if _DIGIT.search(text) else ()), *_names(text, names)]
     if re.search(r"(?i)@|\bat\b", text):
         found += _emails(text)
-    if re.search(r"\d[\d \u00a0().,/a-z-]{3,}\d|\d{5}", text, re.I):
+    if re.search(r"\d[\d \u00a0().,/a-z-]{3,}\d|\d{4}", text, re.I):
         found += [*_phones(text), *_ids(text)]
     return found
 
@@ -465,13 +482,14 @@ def _email(r: random.Random) -> str:
 
 
 _PHONE_FORMS = "555-0199|+44 20 7946 0999|+1 (999) 555-0199|+1-999-555-0199|999-555-0199|999.555.0199|(999) 555 0199|1999555019|+33 6 99 99 99 99|01 99 99 99 99|07700 900999|+447700900999|020 7946 0999|0491-570-999|001-999-555-0199|+1/999/5550199|(0114) 496 0999 ext. 99|+49 30 9999999|999 555 0199|1 999 555 0199|12999550199|0699999999|+46 70 174 06 99|030 23125 999|01632 960999|+34 699 999 999".split("|")
-_ID_VALUES = "000-99-9999|666 99 9999|999-79-9999|666999999|AA 99 99 99 D|AA999999C|99 999 999 999|99999999999|99999999A|X9999999A|19999999-9999|999999-9999|AA999999|X9999999|A99-99999|AA999.999|AAAAA999999AA9AA|AAAAA999999AA9AA".split("|")
-_ID_CUES = "ssn|my social is|social security number:|tax id|nino|national insurance|Steuer-ID|DNI|personnummer|passport no.|lost my passport, number|passport|id card nr|driving licence|put down|they want|here it is:|my identity number is|".split("|")
+_ID_VALUES = "000-99-9999|666 99 9999|999-79-9999|666999999|AA 99 99 99 D|AA999999C|99 999 999 999|99999999999|99999999A|X9999999A|19999999-9999|999999-9999|AA999999|X9999999|A99-99999|AA999.999|AAAAA999999AA9AA|AAAAA999999AA9AA|999.999.999-99|AAAA999999HAAAAA99|9999 9999 9999|AAAAA9999A|S9999999A|999999-9999999|A99999999|99999999999999999X".split("|")
+_ID_CUES = "ssn|my social is|social security number:|tax id|nino|national insurance|Steuer-ID|DNI|personnummer|passport no.|lost my passport, number|passport|id card nr|driving licence|put down|they want|here it is:|my identity number is||cpf|CURP|aadhaar no.|PAN card|NRIC|national identity number|identity card|my passport is".split("|")
 _DECOYS = (
     "see tweet 999999999999999999|order no 999999999|order no 99999999|page 99 of 999|from 192.0.2.999|error 0x9ad99e|build 9.9.99|only 99.99 @ the {w} stall|mail at 9 dot on the {w}|sale at 9|come to the {w} sale at 11|"
     "thanks to all 99 of you|social distance 9 m, tax due on day 29|my passport photo looks like a {w}|999 {w}s on the road to {W}|9 streets past the {w}|{W} Rovers 9-9 {W} United|Lake {W} at 99°|99k/99k tokens|z=9.999|"
     "at 9:99 on 2025-99-09|window_9999999999999.csv|the rose will grant you hope in may|@{w}9999|#{w}{w}|http://{w}.example/{w}9|batch 9999 class 9|invoice 99999999|serial 9999999999|{W} {W} looks at the {w}|near {W} a {w} waits|"
-    "Mark my words, {W}|will {W} come|the {f} was {w}|a {w} {f} with {w}|{W} {f} 9-9|at {F} {W}|{g} {w} the {w}|tomorrow the {w} will {w} {W}|dr {w} and the {w}|the {w} at {w} costs 99.99|2025-03-99 99:99|version 99.99.999|row 999999999|999 {w}s and 99 {w}s|the {w} drive was long|99 {w}s in the {w} court|a señor and {w}|look at {w} dot on the {w}|he took 99 {w} lessons on the {w} way"
+    "Mark my words, {W}|will {W} come|the {f} was {w}|a {w} {f} with {w}|{W} {f} 9-9|at {F} {W}|{g} {w} the {w}|tomorrow the {w} will {w} {W}|dr {w} and the {w}|the {w} at {w} costs 99.99|2025-03-99 99:99|version 99.99.999|row 999999999|999 {w}s and 99 {w}s|the {w} drive was long|99 {w}s in the {w} court|a señor and {w}|look at {w} dot on the {w}|he took 99 {w} lessons on the {w} way|"
+    "isbn 978-9-99-999999-9|isbn 9789999999999|iban DE99 9999 9999 9999 9999 99|serial KXTRB9999Q|part no. S9999999D|tracking no. 9999 9999 9999|card ending 9999 9999 9999 9999|account 999.999.999-99|ticket 999999-9999999|my name is {W}|signed, {W}|regards, {w} {w}|signed, the {W} team|Mr President {w}|Mrs Speaker, {w}|Will {W}'s {w}|batch 9999999999999"
 ).split("|")
 _CARRIERS = {
     "email": "email: {x}|contact {x} for tickets|write to {x}|reach me via {x}|send it to {x}, thanks|{x} is my address|mail {x}|mailto:{x}|<{x}>|{x}|my inbox is {x}",
@@ -515,17 +533,23 @@ def corpus(names: NameList, n: int, seed: int) -> list[tuple[str, list[tuple[int
                 value = _fill(r, r.choice(_ID_VALUES))
             elif kind == "name":
                 value = _name(r, names)
+                if announced := r.random() < 0.1:
+                    value = f"{_word(r).title()} {_word(r).title()}"
             else:
                 value = r.choice(_STREETS).format(n=r.randint(1, 9999), m=r.randint(1, 99), w=_word(r), W=_word(r).title(), l=r.choice("abc")).replace("99999", _digits(r, 5))
             value = form(value)
             carrier = r.choice(_CARRIERS[kind].split("|"))
+            if kind == "name" and announced:
+                carrier = r.choice(["my name is {x}", "signed, {x}", "regards, {x}", "sincerely, {x}"])
             cue = r.choice(_ID_CUES)
             if kind == "id_number" and len(value) == 11 and value.isdigit():
                 carrier, cue = "{c} {x}", r.choice(["Steuer-ID", "tax id", "national id", "identity number"])
-            if kind == "id_number" and "{c}" not in carrier and re.fullmatch(r"\d+", value):
+            if kind == "id_number" and "{c}" not in carrier and re.fullmatch(r"[\d ]+", value):
                 carrier = "{c} {x}"
             if kind == "id_number" and len(value) == 9 and value.isdigit() and cue in ("", "they want", "put down", "here it is:"):
                 cue = "social security number:"
+            if kind == "id_number" and re.fullmatch(r"\d{4} \d{4} \d{4}", value) and cue in ("", "they want", "put down", "here it is:"):
+                cue = "aadhaar no."
             before, after = carrier.split("{x}")
             text += form(before.replace("{c}", cue)).lstrip()
             spans.append((len(text), len(text) + len(value), kind))
@@ -578,7 +602,7 @@ def suspicious(names: NameList) -> str:
     """A pattern (RE2) that every text with a candidate matches. Each part is what all patterns of a type require:
 
     address, phone, id_number: a digit. email: an @, or the word "at", a label and a dot, also as a word. name: a title, a
-    listed given name with a capital, or a word with a listed ending. RE2 knows word edges of ASCII letters only, so edges
+    listed given name with a capital, a word with a listed ending, or a phrase that announces a name. RE2 knows word edges of ASCII letters only, so edges
     are asked for only there; texts with one of the four letters that Python alone takes for ASCII ones are all let through.
     """
     space = _ranges(str.isspace)
@@ -586,6 +610,7 @@ def suspicious(names: NameList) -> str:
     edge = lambda c: r"\b" if c.isascii() and c.isalpha() else ""
     endings = [e for e in names.endings if not any(e != f and e.endswith(f) for f in names.endings)]
     parts = [rf"[{_ranges(str.isdecimal)}]", "@", rf"(?i:\bat\b[\])}}>{space}]+{label}+(?:\.{label}|[\[({{{space}]+dot\b))", rf"\b(?i:{TITLES.replace(' ', '|')})\b(?:[.\s]|[^\x00-\x7f])", "[ſKıİ]"]
+    parts.append(r"(?i:my name is|name's|signed|regards|sincerely|yours truly|i am called)[,:]? \pL")
     parts += [rf"(?:\pL|['’])(?:\pL|['’])(?i:{re.escape(e)}){edge(e[-1])}" for e in sorted(endings)]
     for n in sorted(filter(None, names.given)):
         first = re.escape(n[0].upper()) if n[0].isascii() else rf"(?i:{re.escape(n[0])})"

@@ -39,6 +39,13 @@ FOUND = {
     "signed, MORVELIN, RUBEN": ["name"],
     "my landlord Dr. Haskucci called": ["name"],
     "so sanna quinotti-lummont won it": ["name"],
+    "my cpf is 123.456.789-09": ["id_number"],
+    "CURP GOPM850101HDFRRL09 for the forms": ["id_number"],
+    "aadhaar no. 4567 8901 2345": ["id_number"],
+    "PAN card ABCPE1234F": ["id_number"],
+    "nric S1234567D": ["id_number"],
+    "Sincerely, Hiroshi Tanaka": ["name"],
+    "my name is Oksana Dudek and i live here": ["name"],
     "call 07700 900123, i live at 5 Alder Road, cc Teodor Ostrenko": ["address", "name", "phone"],
 }
 CLEAN = [
@@ -53,6 +60,11 @@ CLEAN = [
     "Lake Trimel at 16°, Gronk Rovers 3-1 Fald United",
     "@petra_brackenko1234 #morvelin http://x.example/petra-lummont",
     "the lake and the will of grace",
+    "isbn 978-3-16-148410-0",
+    "iban DE89 3704 0044 0532 0130 00",
+    "Mr President spoke",
+    "signed, the Trimel team",
+    "tracking no. 4567 8901 2345",
     "z=5.640 error 0x667642 page 12 of 345",
 ]
 
