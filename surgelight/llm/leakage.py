@@ -32,6 +32,12 @@ SHARD_WORDS = 400_000
 SAMPLE = 16
 #: Items searched together; further items are searched in further passes.
 BLOCK_ITEMS = 20_000
+#: Characters of all passages together.
+MOST_ITEM_CHARACTERS = 1 << 28
+#: Occurrences, each with an item, that are held at a time.
+BLOCK_HITS = 1 << 22
+#: Cells of the tables that are filled together.
+CELLS = 1 << 22
 #: Part of the words of an aligned stretch that must be equal.
 EQUAL = 0.75
 #: From this many words on, a stretch with a quarter of its words changed, in whatever places, still has two whole phrases.
@@ -200,28 +206,35 @@ class Items:
         return cls(ids, passages, numbers, phrases, where, start)
 
 
-def align(text: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment of words: matches, first and last place in the passage, first and last place in the text."""
-    n, m = len(text), len(passage)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        up = table[i - 1]
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(np.maximum(up[:-1] + np.where(passage == text[i - 1], 2, -1), up[1:] - 1), 0)
-        table[i] = np.maximum(np.maximum.accumulate(row + steps) - steps, 0)
-    i, j = np.unravel_index(int(np.argmax(table)), table.shape)
+def align(texts: list[np.ndarray], passage: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Best local alignment of each text with the passage, all texts together: matches, first and last place in the passage, first and last place in the text."""
+    m, longest = len(passage), max(map(len, texts))
+    words = np.full((len(texts), longest), -1, np.int64)
+    for k, t in enumerate(texts):
+        words[k, : len(t)] = t
+    table = np.zeros((len(texts), longest + 1, m + 1), np.int32)
+    steps = np.arange(m + 1, dtype=np.int32)
+    row = np.zeros((len(texts), m + 1), np.int32)
+    for i in range(1, longest + 1):
+        up = table[:, i - 1]
+        row[:, 1:] = np.maximum(np.maximum(up[:, :-1] + np.where(words[:, i - 1, None] == passage, 2, -1), up[:, 1:] - 1), 0)
+        table[:, i] = np.maximum(np.maximum.accumulate(row + steps, axis=1) - steps, 0)
+    return [_traced(table[k], t, passage) for k, t in enumerate(texts)]
+
+
+def _traced(table: np.ndarray, text: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int, int]:
+    i, j = map(int, np.unravel_index(int(np.argmax(table)), table.shape))
     end_i, end_j, matches = i, j, 0
-    while i and j and table[i, j] > 0:
+    while i and j and (here := table[i, j]) > 0:
         same = passage[j - 1] == text[i - 1]
-        if table[i, j] == table[i - 1, j - 1] + (2 if same else -1):
+        if here == table[i - 1, j - 1] + (2 if same else -1):
             matches += int(same)
             i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] - 1:
+        elif here == table[i - 1, j] - 1:
             i -= 1
         else:
             j -= 1
-    return matches, int(j), int(end_j) - 1, int(i), int(end_i) - 1
+    return matches, j, end_j - 1, i, end_i - 1
 
 
 def _masks(passage: np.ndarray) -> dict[int, int]:
@@ -241,12 +254,6 @@ def common_words(text: np.ndarray, masks: dict[int, int], size: int) -> int:
     return size - free.bit_count()
 
 
-def _stretches(places: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Windows of the text in which hits lie close together, with room for the rest of the passage."""
-    cuts = np.flatnonzero(np.diff(places) > length) + 1
-    return [(int(part[0]) - length, int(part[-1]) + PHRASE + length) for part in np.split(places, cuts)]
-
-
 def search_shard(documents: list[np.ndarray], items: Items, share: float) -> list[tuple[int, int, int, int, int]]:
     """(document, item, first word, last word, matches) of every leak."""
     values = np.concatenate([np.append(d, SEPARATOR) for d in documents])
@@ -256,45 +263,97 @@ def search_shard(documents: list[np.ndarray], items: Items, share: float) -> lis
     counts = high - low
     if not counts.any():
         return []
-    phrase = np.repeat(np.arange(len(counts)), counts)
-    rows = np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-    at = index.locate(rows)
-    # every occurrence stands for all items that have the phrase
-    many = items.start[phrase + 1] - items.start[phrase]
-    k = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.start[phrase], many)
-    item, q = items.where[k].T
-    at = np.repeat(at, many)
-    document = np.searchsorted(starts, at, side="right") - 1
-    pair = document * len(items.ids) + item
-    longest = 1 << 16
-    distinct = np.unique(pair * longest + np.minimum(q, longest - 1)) // longest
-    pairs, hit = np.unique(distinct, return_counts=True)
     lengths = np.array([len(p) for p in items.passages])
+    longest, n = int(lengths.max()), len(items.ids)
+
+    many = items.start[1:] - items.start[:-1]
+    cost = np.cumsum(counts * many)
+
+    def hits() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(pair of document and item, place in the passage, place in the shard) of every occurrence, in blocks: a phrase of many items that occurs often is never held with all of them."""
+        at = 0
+        while at < len(counts):
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + BLOCK_HITS, side="right")))
+            phrase = np.repeat(np.arange(at, end), counts[at:end])
+            rows = np.arange(len(phrase)) - np.repeat(np.cumsum(counts[at:end]) - counts[at:end], counts[at:end]) + np.repeat(low[at:end], counts[at:end])
+            place = index.locate(rows)
+            each = many[phrase]
+            k = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(items.start[phrase], each)
+            item, q = items.where[k].T
+            place = np.repeat(place, each)
+            yield (np.searchsorted(starts, place, side="right") - 1) * n + item, q, place
+            at = end
+
+    once = list(hits()) if cost[-1] <= BLOCK_HITS else None  # else they are located again below
+    distinct = np.unique(np.concatenate([np.unique(pair * longest + q) for pair, q, _ in once or hits()])) // longest
+    pairs, hit = np.unique(distinct, return_counts=True)
     least = np.ceil(share * lengths)
     need = np.where(least >= TWO_PHRASES, 2, 1)
-    good = pairs[hit >= need[pairs % len(items.ids)]]
-    out, masks = [], {}
-    keep = np.isin(pair, good)
-    pair, at = pair[keep], at[keep]
+    good = pairs[hit >= need[pairs % n]]
+    out = []
+    kept = [(pair[keep], at[keep]) for pair, _, at in once or hits() if (keep := np.isin(pair, good)).any()]
+    if not kept:
+        return []
+    pair, at = (np.concatenate(x) for x in zip(*kept))
     order = np.lexsort((at, pair))
     pair, at = pair[order], at[order]
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(pair) != 0])) if len(pair) else np.empty(0, int)
-    for a, b in zip(edges, np.append(edges[1:], len(pair))):
-        d, i = divmod(int(pair[a]), len(items.ids))
-        passage, text = items.passages[i], documents[d]
-        if i not in masks:
-            masks[i] = _masks(passage)
-        places = at[a:b] - starts[d]
-        todo = [(max(0, x), min(len(text), y)) for x, y in _stretches(places, len(passage))]
+    document, item = np.divmod(pair, n)
+    # stretches: hits of a pair that lie close together, with room for the rest of the passage on both sides
+    fresh = np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(at) > lengths[item[1:]])])
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(at))
+    room = lengths[item[head]]
+    x, y = np.maximum(starts[document[head]], at[head] - room), np.minimum(starts[document[head] + 1] - 1, at[tail - 1] + PHRASE + room)
+    enough = np.flatnonzero(tail - head >= need[item[head]])
+    local = np.full(len(items.numbers) + 2, -1)  # place of each word among the words of the passage at hand
+    by_item = enough[np.argsort(item[head[enough]], kind="stable")]
+    for group in np.split(by_item, np.flatnonzero(np.diff(item[head[by_item]])) + 1) if len(by_item) else ():
+        i = int(item[head[group[0]]])
+        passage, m = items.passages[i], int(lengths[i])
+        own, times = np.unique(passage, return_counts=True)
+        local[own] = np.arange(len(own))
+        masks, least_equal = _masks(passage), EQUAL * least[i]
+
+        def may_leak(text: np.ndarray, places: np.ndarray) -> bool:
+            """By three bounds on the matches, the cheapest first."""
+            if len(places) < need[i]:
+                return False
+            known = local[text]
+            known = known[known >= 0]
+            return np.minimum(np.bincount(known, minlength=len(times)), times).sum() >= least_equal and common_words(text, masks, m) >= least_equal
+
+        todo = [(int(s), int(a), int(b)) for s in group for a, b in _windows(int(x[s]), int(y[s]), m)]
         while todo:
-            x, y = todo.pop()
-            if np.count_nonzero((places >= x) & (places < y)) < need[i] or common_words(text[x:y], masks[i], len(passage)) < EQUAL * least[i]:
-                continue
-            matches, first, last, begin, end = align(text[x:y], passage)
-            if (last - first + 1) >= share * len(passage) and matches >= EQUAL * (last - first + 1):
-                out.append((d, i, x + begin, x + end, matches))
-                todo += [(x, x + begin), (x + end + 1, y)]  # further copies beside it
-    return out
+            live = [(s, a, b) for s, a, b in todo if may_leak(values[a:b], at[head[s] : tail[s]][(at[head[s] : tail[s]] >= a) & (at[head[s] : tail[s]] < b)])]
+            live.sort(key=lambda w: w[2] - w[1])
+            todo = []
+            for part in _portions(live, m):
+                for (s, a, b), (matches, first, last, begin, end) in zip(part, align([values[a:b] for _, a, b in part], passage)):
+                    if (last - first + 1) >= share * m and matches >= EQUAL * (last - first + 1):
+                        d = int(document[head[s]])
+                        out.append((d, i, a + begin - int(starts[d]), a + end - int(starts[d]), matches))
+                        todo += [(s, a, a + begin), (s, a + end + 1, b)]  # further copies beside it
+        local[own] = -1
+    return sorted(set(out))
+
+
+def _windows(a: int, b: int, m: int) -> list[tuple[int, int]]:
+    """The stretch itself, or where its table would be too large, windows of it that overlap by two passages."""
+    if (b - a) * m <= CELLS or b - a <= 4 * m:
+        return [(a, b)]
+    size = max(4 * m, CELLS // m)
+    return [(k, min(b, k + size)) for k in range(a, max(a + 1, b - 2 * m), size - 2 * m)]
+
+
+def _portions(windows: list[tuple[int, int, int]], m: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows, in order of size, that are aligned together."""
+    at = 0
+    while at < len(windows):
+        end = at + 1
+        while end < len(windows) and (end + 1 - at) * (windows[end][2] - windows[end][1] + 1) * (m + 1) <= CELLS:
+            end += 1
+        yield windows[at:end]
+        at = end
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -312,8 +371,11 @@ def leaks(df: DataFrame, eval_items: DataFrame, id_col: str = "doc_id", text_col
     in one stretch of the text, and the characters [start, end) of that stretch; a pair has a row for each stretch.
 
     Null and empty texts and passages without a word leak nothing. Repeated rows are each searched. Whole texts are
-    indexed. The test items (a table of fixed size) go to all tasks, at most BLOCK_ITEMS a pass.
+    indexed. The test items (a table of fixed size, at most MOST_ITEM_CHARACTERS; more is an error) go to all tasks, at most BLOCK_ITEMS a pass.
     """
+    size = eval_items.agg(F.coalesce(F.sum(F.length(passage_col)), F.lit(0))).first()[0]
+    if size > MOST_ITEM_CHARACTERS:
+        raise ValueError(f"passages of {size} characters: search them in parts of at most {MOST_ITEM_CHARACTERS}")
     rows = [(r[0], r[1]) for r in eval_items.select(item_col, passage_col).where(F.col(passage_col).isNotNull()).collect()]
     lean = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t <> ''")
     key, item_kind = lean.schema["i"].dataType, eval_items.schema[item_col].dataType

@@ -31,6 +31,8 @@ from surgelight.session import map_arrow
 
 #: Words whose likeness to a name is kept at most.
 SEEN_WORDS = 1 << 16
+#: Names that a list may have.
+MOST_NAMES = 1 << 20
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"<{k.upper()}>" for k in KINDS}
 
@@ -619,8 +621,11 @@ def suspicious(names: NameList) -> str:
 
 
 def read_names(df: DataFrame, name_col: str = "name", kind_col: str = "kind") -> NameList:
-    """The name list, on the driver: a reference table of fixed size, not one that grows with the corpus."""
-    return NameList.of([(r[0], r[1]) for r in df.select(name_col, kind_col).distinct().collect()])
+    """The name list, on the driver: a reference table of fixed size, not one that grows with the corpus; more than MOST_NAMES are an error."""
+    rows = df.select(name_col, kind_col).distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return NameList.of([(r[0], r[1]) for r in rows])
 
 
 def personal_data(df: DataFrame, names: NameList, id_col: str = "seq", text_col: str = "text") -> DataFrame:

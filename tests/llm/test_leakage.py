@@ -92,7 +92,7 @@ def test_no_alignment_has_more_matches_than_common_words(text, passage):
             best[i + 1, j + 1] = best[i, j] + 1 if a == b else max(best[i, j + 1], best[i + 1, j])
     text, passage = np.array(text, np.int64), np.array(passage)
     common = lk.common_words(text, lk._masks(passage), len(passage))
-    assert common == best[-1, -1] and lk.align(text, passage)[0] <= common
+    assert common == best[-1, -1] and (not len(text) or lk.align([text], passage)[0][0] <= common)
 
 
 def test_half_a_passage_with_changed_words(spark):
@@ -107,6 +107,54 @@ def test_half_a_passage_with_changed_words(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(3)}
 
 
+def test_spans_against_alignment_of_everything(spark):
+    """Every document aligned with every passage, again and again beside what was found, without any index."""
+    r = random.Random(4)
+    passages = {i: _passage(i, r.randint(13, 60)) for i in range(6)}
+    documents = []
+    for d in range(60):
+        words = r.choices(WORDS, k=r.randint(0, 60))
+        for _ in range(r.randint(0, 3)):
+            p = passages[r.randrange(6)][:]
+            p = p[r.randint(0, len(p) // 3) :]
+            for _ in range(r.randint(0, len(p) // 10)):
+                p[r.randrange(len(p))] = r.choice(WORDS)
+            words += p + r.choices(WORDS, k=r.randint(0, 30))
+        documents.append((d, " ".join(words)))
+
+    def brute(text, passage):
+        numbers = {w: k for k, w in enumerate(WORDS)}
+        t, p = (np.array([numbers[w] for w in x]) for x in (text, passage))
+        out, todo = [], [(0, len(t))]
+        while todo:
+            a, b = todo.pop()
+            if b > a:
+                matches, first, last, begin, end = lk.align([t[a:b]], p)[0]
+                if last - first + 1 >= 0.5 * len(p) and matches >= lk.EQUAL * (last - first + 1):
+                    out.append((a + begin, a + end))
+                    todo += [(a, a + begin), (a + end + 1, b)]
+        return out
+
+    want = {(d, i, *span) for d, text in documents for i, p in passages.items() for span in brute(text.split(), p)}
+    df = spark.createDataFrame(documents, "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in passages.items()], "item_id bigint, passage string")
+    texts = dict(documents)
+    place = lambda d, c: texts[d][:c].count(" ")
+    got = {(r.doc_id, r.item_id, place(r.doc_id, r.start), place(r.doc_id, r.end)) for r in lk.leaks(df, items).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_hits_in_blocks_and_long_stretches_in_windows(spark, monkeypatch):
+    p = _passage(0)
+    documents = [(k, "gap " * k + " ".join((p + ["gap"] * 3) * 12)) for k in range(3)]
+    df, items = spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(p)) for i in range(4)], "item_id bigint, passage string")
+    want = sorted(lk.leaks(df, items).collect())
+    assert len(want) == 3 * 4 * 12
+    monkeypatch.setattr(lk, "BLOCK_HITS", 50)
+    monkeypatch.setattr(lk, "CELLS", 40 * 200)
+    assert sorted(lk.leaks(df, items).collect()) == want
+
+
 def test_copies_close_together(spark):
     p = " ".join(_passage(0))
     text = f"{p} gap gap gap {p} gap {p} end"
