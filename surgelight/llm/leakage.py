@@ -56,6 +56,11 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def plain_words(text: str) -> list[str]:
+    """The words of ``words_of`` without their places."""
+    return [(_BREAK.sub("", w) if "\n" in w else w).lower() for w in _WORD.findall(text)]
+
+
 class WaveletMatrix:
     """Ranks and access over a sequence of small numbers; one bit plane per bit, counted by blocks of 32."""
 
@@ -396,13 +401,13 @@ def _searcher(items: Items, share: float):  # noqa: ANN202
         def flush() -> Iterator[pa.RecordBatch]:
             found = search_shard([w for _, w, _ in held], items, share)
             if found:
-                kind = key_type
+                spans = {d: words_of(held[d][2]) for d in {d for d, *_ in found}}  # places only of texts that leak
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([held[d][0] for d, *_ in found], kind),
+                        pa.array([held[d][0] for d, *_ in found], key_type),
                         pa.array([items.ids[i] for _, i, *_ in found]),
-                        pa.array([int(held[d][2][a, 0]) for d, _, a, _, _ in found], pa.int32()),
-                        pa.array([int(held[d][2][b, 1]) for d, _, _, b, _ in found], pa.int32()),
+                        pa.array([spans[d][a][1] for d, _, a, _, _ in found], pa.int32()),
+                        pa.array([spans[d][b][2] for d, _, _, b, _ in found], pa.int32()),
                     ],
                     names=names,
                 )
@@ -412,10 +417,10 @@ def _searcher(items: Items, share: float):  # noqa: ANN202
             key_type = part.schema[0].type
             numbers = items.numbers
             for key, text in zip(part.column(0).to_pylist(), consistent(part.column(1))[0].to_pylist()):
-                words = words_of(text)
+                words = plain_words(text)
                 if not words:
                     continue
-                held.append((key, np.array([numbers.get(w, OTHER) for w, _, _ in words]), np.array([(a, b) for _, a, b in words], np.int32)))
+                held.append((key, np.array([numbers.get(w, OTHER) for w in words]), text))
                 size += len(words) + 1
                 if size >= SHARD_WORDS and items.ids:
                     yield from flush()
