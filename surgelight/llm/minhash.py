@@ -366,7 +366,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "tex
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "text", order_col: str = "seq", **options: float) -> DataFrame:
-    """(id, group, links) for every record with enough words: the least class linked to its own by any chain, and the number of other classes its class is linked with.
+    """(id, group, links) for every record with enough words: the least identifier among all that any chain of links and copies leads to, and the number of other classes its class is linked with.
 
     Groups spread by alternating large-star and small-star steps, each checkpointed, until nothing changes.
     """
@@ -374,8 +374,11 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "te
     links = checkpointed(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     groups = connected(links)
-    out = members.join(groups, "cls", "left").join(degree, "cls", "left")
-    return out.select("id", F.coalesce("group", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    # one row for each class from here: its group, and the least identifier of that
+    own = members.groupBy("cls").agg(F.min("id").alias("least")).join(groups, "cls", "left").select("cls", "least", F.coalesce("group", "cls").alias("g"))
+    first = own.groupBy("g").agg(F.min("least").alias("group"))
+    classes = own.join(first, "g").join(degree, "cls", "left").select("cls", "group", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(classes, "cls").select("id", "group", "links")
 
 
 def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:

@@ -126,15 +126,22 @@ def _form(c: str) -> str:
     return f"nfc_normalize(array_to_string({parts}, ''))"
 
 
-_P4 = rf"""WITH one AS (SELECT CAST(regexp_replace(id_str, '[^0-9]', '', 'g') AS BIGINT) AS id, min_by(text, seq) AS text FROM tweets WHERE regexp_matches(id_str, '[0-9]') GROUP BY 1),
-s AS MATERIALIZED (SELECT id, list_distinct(regexp_extract_all(lower({_form('text')}), '[\p{{L}}\p{{Nd}}]+')) AS words FROM one WHERE text IS NOT NULL),
+_PAIRS = rf"""one AS (SELECT CAST(regexp_replace(id_str, '[^0-9]', '', 'g') AS BIGINT) AS id, min_by(text, seq) AS text FROM tweets WHERE regexp_matches(id_str, '[0-9]') GROUP BY 1),
+s AS MATERIALIZED (SELECT id, list_sort(list_distinct(regexp_extract_all(lower({_form('text')}), '[\p{{L}}\p{{Nd}}]+'))) AS words FROM one WHERE text IS NOT NULL),
 w AS MATERIALIZED (SELECT id, len(words) AS n, unnest(words) AS w FROM s WHERE len(words) >= 10),
-c AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id)
-SELECT id_a, id_b FROM c WHERE c * 10 >= 6 * (na + nb - c)"""
+c AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id),
+pairs AS MATERIALIZED (SELECT id_a, id_b FROM c WHERE c * 10 >= 6 * (na + nb - c))"""
+_GROUPS = f"""WITH RECURSIVE {_PAIRS},
+e AS MATERIALIZED (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+r AS (SELECT id, id AS root FROM s WHERE len(words) >= 10 UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a),
+k AS (SELECT id, min(id) OVER (PARTITION BY words) AS cls FROM s WHERE len(words) >= 10),
+l AS (SELECT x.cls, count(DISTINCT y.cls) AS links FROM e JOIN k x ON x.id = e.a JOIN k y ON y.id = e.b WHERE x.cls <> y.cls GROUP BY x.cls)
+SELECT k.id, g."group", coalesce(l.links, 0) AS links FROM k JOIN (SELECT id, min(root) AS "group" FROM r GROUP BY id) g USING (id) LEFT JOIN l USING (cls)"""
 
 ORACLES = {
     "p2_form": f"SELECT seq, {_form('text')} AS text, list_transform(tokens, lambda t: {_form('t')}) AS tokens FROM tweets",
-    "p4_found": _P4,
+    "p4_found": f"WITH {_PAIRS} SELECT * FROM pairs",
+    "p4_groups": _GROUPS,
     "p2_found": f"SELECT seq, 'text' AS field FROM tweets WHERE {_odd('text')} UNION ALL SELECT seq, 'tokens' FROM tweets WHERE len(list_filter(tokens, lambda w: {_odd('w')})) > 0",
     "p3_found": f"WITH {_COUNTS} SELECT term AS token, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE records < 3 OR records > 5e-2 * (SELECT count(*) FROM tweets)",
     "p3_frequencies": f"WITH {_COUNTS} SELECT * FROM c",
