@@ -12,6 +12,7 @@ import surgelight.__main__ as program
 from surgelight.config import Settings
 from surgelight.functions.text import tokens
 from surgelight.plans import pipeline
+from surgelight.sinks.replay import replay
 from surgelight.sources.queue import BrokerClient, FolderClient, QueueSource
 from surgelight.sources.strict import load_strict
 from surgelight.streaming import engine
@@ -232,3 +233,23 @@ def test_broker_client(tmp_path, monkeypatch):
     monkeypatch.setitem(sys.modules, "pika", None)
     with pytest.raises(RuntimeError):
         client.inspect()
+
+
+def test_replay_is_taken_up_again(tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"f{k}.csv").write_text(f"id_str\n\n{k},a\n{k},b\n")
+    queue, marker = FolderClient({"path": str(tmp_path / "queue")}), str(tmp_path / "marker")
+
+    class Breaks(FolderClient):
+        def publish(self, name, bodies):
+            if name == "f1.csv":
+                raise OSError("gone")
+            return super().publish(name, bodies)
+
+    with pytest.raises(OSError):
+        replay(str(folder), Breaks({"path": str(tmp_path / "queue")}), marker)
+    assert queue.latest() == 3 and replay(str(folder), queue, marker) == 6 and queue.latest() == 9
+    assert replay(str(folder), queue, marker) == 0
+    assert list(queue.fetch(4, 8)) == ["1,a", "1,b", "id_str", "2,a"]
