@@ -50,10 +50,14 @@ def with_class(counts: DataFrame, classes: DataFrame, settings: Settings, schedu
 
 
 def counters(classed: DataFrame, settings: Settings) -> DataFrame:
-    """(batch, class, part, pos, c): the counters that are not 0, of the classes that are not skipped."""
+    """(batch, class, part, pos, c): the counters that are not 0, of the classes that are not skipped.
+
+    Rows are brought together by array (batch, class, part), which holds at most the tokens of a batch: the sums by position and
+    all that is asked of whole arrays later need no further shuffle.
+    """
     keyed = classed.where(~F.col("class").isin(list(settings.skip_frequency_classes))) if settings.skip_frequency_classes else classed
     parts = F.array(*(F.struct(F.lit(k).alias("part"), p.alias("pos")) for k, p in enumerate(key_parts(F.col("token"), settings.bw_array_len), 1)))
-    return keyed.select("batch", "class", "n", F.inline(parts)).groupBy("batch", "class", "part", "pos").agg(F.sum("n").alias("c"))
+    return keyed.select("batch", "class", "n", F.inline(parts)).repartition("batch", "class", "part").groupBy("batch", "class", "part", "pos").agg(F.sum("n").alias("c"))
 
 
 def counter_stats(cells: DataFrame, settings: Settings) -> DataFrame:
@@ -74,11 +78,16 @@ def hot_positions(cells: DataFrame, settings: Settings) -> DataFrame:
 
     Empty positions can be hot only for thresholds of 0 or less; only then all positions are written out.
     """
-    stats = counter_stats(cells, settings).select("batch", "class", "part", "mean", "sd").where("sd > 0")
+    size = settings.bw_array_len
     if settings.z_score <= 0:
-        grid = stats.select("batch", "class", "part", F.explode(F.sequence(F.lit(0), F.lit(settings.bw_array_len - 1))).alias("pos"))
-        cells = grid.join(cells, ["batch", "class", "part", "pos"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    joined = cells.join(stats, ["batch", "class", "part"])
+        stats = counter_stats(cells, settings).select("batch", "class", "part", "mean", "sd").where("sd > 0")
+        grid = stats.select("batch", "class", "part", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("pos"))
+        joined = grid.join(cells, ["batch", "class", "part", "pos"], "left").withColumn("c", F.coalesce("c", F.lit(0))).join(stats, ["batch", "class", "part"])
+    else:
+        array = Window.partitionBy("batch", "class", "part")  # at most bw_array_len rows
+        sums = cells.withColumns({"_t": F.sum("c").over(array), "_q": F.sum(F.col("c") * F.col("c")).over(array)})
+        sd = F.sqrt((F.col("_q") * size - F.col("_t") * F.col("_t")).cast("double")) / size
+        joined = sums.withColumns({"mean": F.col("_t") / size, "sd": sd}).where("sd > 0")
     return joined.where((F.col("c") - F.col("mean")) / F.col("sd") >= settings.z_score).select("batch", "class", "part", "pos", "c")
 
 
