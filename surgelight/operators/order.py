@@ -25,38 +25,51 @@ def _tie(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*plain), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _ranged(df: DataFrame, order_col: str, rows: int) -> DataFrame:
-    """Adds ``_r``, which never falls as (order, ``_h``) rises, and ``_h`` for the order among equals; null orders have the lowest ``_r``."""
+def _ranged(df: DataFrame, order_col: str, rows: int) -> tuple[DataFrame, int]:
+    """Adds ``_r``, which never falls as (order, ``_h``) rises, and ``_h`` for the order among equals; null orders have the lowest ``_r``. Also how many rows there are."""
     order = F.col(order_col)
     low, high, n, empty = df.agg(F.min(order), F.max(order), F.count(order), F.count(F.lit(1)) - F.count(order)).first()
     width = 1 if low is None else high - low + 1
     if n <= 4 * width and width <= 4 * n and empty <= rows:  # dense: ranges of equal width are evenly filled
-        return df.withColumns({"_h": F.lit(0.0), "_r": F.coalesce(F.floor((order - F.lit(low)) / rows), F.lit(-1)) if n else F.lit(-1).cast("bigint")})
+        return df.withColumns({"_h": F.lit(0.0), "_r": F.coalesce(F.floor((order - F.lit(low)) / rows), F.lit(-1)) if n else F.lit(-1).cast("bigint")}), n + empty
     step = max(1, -(-width // STRETCHES))
     stretch = F.coalesce(F.floor((order - F.lit(low)) / step), F.lit(-1)) if n else F.lit(-1).cast("bigint")
     cut = df.withColumns({"_h": _tie(df), "_s": stretch})
     within = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("lo"), F.max(order).alias("hi"))
     crowded = within.where(F.col("c") > rows).collect()  # at most STRETCHES + 1 rows
     if not crowded:
-        return cut.withColumn("_r", F.col("_s") * (1 << 31)).drop("_s")
+        return cut.withColumn("_r", F.col("_s") * (1 << 31)).drop("_s"), n + empty
     of = lambda r: (r["_s"], -(-r["c"] // rows), r["lo"] or 0, 1 if r["lo"] is None else r["hi"] - r["lo"] + 1)
     parts = df.sparkSession.createDataFrame([of(r) for r in crowded], "_t bigint, _k bigint, _l bigint, _w bigint")
     inside = (F.coalesce((order - F.col("_l")).cast("double"), F.lit(0.0)) + F.col("_h")) / F.col("_w")
     joined = cut.join(F.broadcast(parts), F.col("_s") == F.col("_t"), "left")
-    return joined.withColumn("_r", F.col("_s") * (1 << 31) + F.coalesce(F.floor(inside * F.col("_k")), F.lit(0))).drop("_s", "_t", "_k", "_l", "_w")
+    return joined.withColumn("_r", F.col("_s") * (1 << 31) + F.coalesce(F.floor(inside * F.col("_k")), F.lit(0))).drop("_s", "_t", "_k", "_l", "_w"), n + empty
 
 
-def with_running_sum(df: DataFrame, order_col: str, value: Column, name: str, rows: int = RANGE) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all rows up to and with this one, in ascending order of the integer ``order_col``.
-
-    Rows of equal order are taken in any order; null orders come first, null values count 0.
-    """
-    cut = _ranged(df.withColumn("_v", F.coalesce(value.cast("bigint"), F.lit(0))), order_col, rows)
-    sums = cut.groupBy(F.col("_r").alias("_q")).agg(F.sum("_v").alias("_s"))
+def _summed(df: DataFrame, order_col: str, values: dict[str, Column], rows: int = RANGE) -> tuple[DataFrame, int]:
+    """``with_running_sums``, and how many rows there are."""
+    inner = {f"_v{i}": F.coalesce(v.cast("bigint"), F.lit(0)) for i, v in enumerate(values.values())}
+    cut, total = _ranged(df.withColumns(inner), order_col, rows)
+    sums = cut.groupBy(F.col("_r").alias("_q")).agg(*(F.sum(v).alias(v.replace("v", "s")) for v in inner))
     before = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offsets = sums.select("_q", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    offsets = sums.select("_q", *(F.coalesce(F.sum(v.replace("v", "s")).over(before), F.lit(0)).alias(v.replace("v", "o")) for v in inner))
     inside = Window.partitionBy("_r").orderBy(F.col(order_col).asc_nulls_first(), "_h").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(offsets, F.col("_r") == F.col("_q")).withColumn(name, F.col("_o") + F.sum("_v").over(inside)).drop("_v", "_r", "_h", "_q", "_o")
+    joined = cut.join(offsets, F.col("_r") == F.col("_q"))
+    out = joined.withColumns({name: F.col(v.replace("v", "o")) + F.sum(v).over(inside) for name, v in zip(values, inner)})
+    return out.drop("_r", "_h", "_q", *inner, *(v.replace("v", "o") for v in inner)), total
+
+
+def with_running_sums(df: DataFrame, order_col: str, values: dict[str, Column], rows: int = RANGE) -> DataFrame:
+    """Adds for each name the sum of its value over all rows up to and with this one, in ascending order of the integer ``order_col``.
+
+    Rows of equal order are taken in any order, the same for all sums; null orders come first, null values count 0.
+    """
+    return _summed(df, order_col, values, rows)[0]
+
+
+def with_running_sum(df: DataFrame, order_col: str, value: Column, name: str, rows: int = RANGE) -> DataFrame:
+    """``with_running_sums`` of one value."""
+    return with_running_sums(df, order_col, {name: value}, rows)
 
 
 def with_ordinal(df: DataFrame, order_col: str = "seq", name: str = "ordinal") -> DataFrame:
@@ -64,12 +77,11 @@ def with_ordinal(df: DataFrame, order_col: str = "seq", name: str = "ordinal") -
     return with_running_sum(df, order_col, F.lit(1), name)
 
 
-def with_batch(df: DataFrame, settings: Settings, order_col: str = "seq") -> DataFrame:
-    """Adds ``batch``, from 0: every ``settings.batch`` messages make one; an incomplete last batch is null."""
-    numbered = with_ordinal(df, order_col, "_n")
-    complete = F.floor(df.agg(F.count(F.lit(1))).scalar() / settings.batch)
+def with_batch(df: DataFrame, settings: Settings, order_col: str = "seq", **sums: Column) -> DataFrame:
+    """Adds ``batch``, from 0: every ``settings.batch`` messages make one; an incomplete last batch is null. Further running sums by name come in the same pass."""
+    numbered, total = _summed(df, order_col, {"_n": F.lit(1), **sums})
     batch = F.floor((F.col("_n") - 1) / settings.batch)
-    return numbered.withColumn("batch", F.when(batch < complete, batch)).drop("_n")
+    return numbered.withColumn("batch", F.when(batch < total // settings.batch, batch)).drop("_n")
 
 
 def with_file(df: DataFrame, settings: Settings, order_col: str = "seq", tokens_col: str = "tokens") -> DataFrame:
@@ -82,9 +94,8 @@ def with_file(df: DataFrame, settings: Settings, order_col: str = "seq", tokens_
 
 def recent(df: DataFrame, settings: Settings, order_col: str = "seq") -> DataFrame:
     """The last ``window_batches * batch`` messages."""
-    n = settings.window_batches * settings.batch
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return with_ordinal(df, order_col, "_n").where(F.col("_n") > total - n).drop("_n")
+    numbered, total = _summed(df, order_col, {"_n": F.lit(1)})
+    return numbered.where(F.col("_n") > total - settings.window_batches * settings.batch).drop("_n")
 
 
 def rebuild_count(files: int, settings: Settings) -> int:

@@ -12,10 +12,10 @@ from surgelight.operators.frequency import frequency_classes
 from surgelight.session import materialised
 
 
-def tokenised(df: DataFrame, settings: Settings, words: list[str] | None = None, order_col: str = "seq", text_col: str = "text") -> DataFrame:
-    """(seq, batch, tokens) of every message, tokens made from the text."""
+def tokenised(df: DataFrame, settings: Settings, words: list[str] | None = None, order_col: str = "seq", text_col: str = "text", upto: bool = False) -> DataFrame:
+    """(seq, batch, tokens) of every message, tokens made from the text; with ``upto`` also the tokens of all messages up to and with each."""
     rows = df.select(F.col(order_col).alias("seq"), tokens(F.col(text_col), settings, words).alias("tokens"))
-    return order.with_batch(rows, settings)
+    return order.with_batch(rows, settings, **({"upto": F.size("tokens")} if upto else {}))
 
 
 def busy_of_all(df: DataFrame, settings: Settings, words: list[str] | None = None, order_col: str = "seq", text_col: str = "text") -> DataFrame:
@@ -32,7 +32,7 @@ def busy_of_all(df: DataFrame, settings: Settings, words: list[str] | None = Non
 
 def busy_of_windows(df: DataFrame, settings: Settings, words: list[str] | None = None, order_col: str = "seq", text_col: str = "text") -> DataFrame:
     """Busy words of each complete batch, with the classes of the last rebuild before the batch began; nothing before the first rebuild."""
-    rows = materialised(order.with_running_sum(tokenised(df, settings, words, order_col, text_col), "seq", F.size("tokens"), "upto"), "messages")
+    rows = materialised(tokenised(df, settings, words, order_col, text_col, upto=True), "messages")
     before = F.col("upto") - F.size("tokens")
     filed = rows.select(before.alias("b"), F.posexplode("tokens").alias("pos", "token")).select("token", F.floor((F.col("b") + F.col("pos")) / settings.file_tokens).alias("file_no"))
     counts = filed.groupBy("file_no", "token").agg(F.count(F.lit(1)).alias("n"))

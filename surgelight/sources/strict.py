@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns of a message, in order.
 FIELDS = ("id_str", "created_at", "user_id_str", "retweet_count", "text", "retweeted", "at", "http", "hashtag", "words")
 #: One field with the comma before it: quoted with doubled quotes, or without any quote or line break.
 _FIELD = r',("(?:[^"]++|"")*+"|[^",\r\n]*+)'

@@ -108,7 +108,7 @@ class BusyStream:
         s, state = self.settings, self.state(epoch)
         parts = state["parts"]
         clean = df.select("seq", F.filter("tokens", lambda t: t.isNotNull() & (t != "")).alias("tokens"))
-        numbered = order.with_running_sum(order.with_ordinal(clean, "seq", "_n"), "seq", F.size("tokens"), "_t")
+        numbered = order.with_running_sums(clean, "seq", {"_n": F.lit(1), "_t": F.size("tokens")})
         rows = self._write("messages", epoch, numbered.select("seq", (F.col("_n") + state["messages"]).alias("ordinal"), "tokens", (F.col("_t") - F.size("tokens") + state["tokens"]).alias("before")))
         added = rows.agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("t")).first()
         after = {"messages": state["messages"] + added.m, "tokens": state["tokens"] + added.t}

@@ -30,10 +30,16 @@ def test_ordinals(spark, name):
     assert placed == sorted(ORDERS[name], key=lambda o: (o is not None, o or 0))
 
 
+def test_several_sums_at_once(spark):
+    df = spark.createDataFrame([(5, 2), (1, 3), (9, None), (None, 7)], "seq bigint, v int")
+    out = order.with_running_sums(df, "seq", {"a": F.col("v"), "seq2": F.lit(1)}, rows=2).orderBy("seq2").collect()
+    assert [(r.seq, r.a, r.seq2) for r in out] == [(None, 7, 1), (1, 10, 2), (5, 12, 3), (9, 12, 4)]
+
+
 def test_crowded_orders_make_several_ranges(spark):
     for name in ("crowded", "equal", "nulls"):
         df = spark.createDataFrame([(o, i) for i, o in enumerate(ORDERS[name])], "seq bigint, v int")
-        assert max(r["count"] for r in order._ranged(df, "seq", 40).groupBy("_r").count().collect()) <= 120
+        assert max(r["count"] for r in order._ranged(df, "seq", 40)[0].groupBy("_r").count().collect()) <= 120
 
 
 def test_empty_table(spark):

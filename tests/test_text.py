@@ -9,6 +9,7 @@ from surgelight.functions import keys, text
 RULES = TokenFilters(max_length=10, min_character_diversity=0.3, min_character_diversity_lower_limit=8)
 SETTINGS = Settings(token_filters=RULES)
 
+# Texts and the tokens that must come of them (those up to the first non-ASCII one are expectations of the described tokeniser).
 CASES = {
     "Hello World Test": ["hello", "world", "test"],
     "Short VeryLongTokenThatExceedsMaxLength Short": ["short", "short"],
