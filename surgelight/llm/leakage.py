@@ -10,9 +10,11 @@ that pass are merged into spans of the text to remove.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ EQUAL = 0.75
 TWO_PHRASES = 13
 OTHER, SEPARATOR = 1, 0
 _WORD = regex.compile(r"[\p{L}\p{Nd}](?:[\p{L}\p{M}\p{Nd}]|-[ \t]*\r?\n[ \t>*]*(?=\p{Ll}))*")
+#: The same for texts of ASCII characters.
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:-[ \t]*\r?\n[ \t>*]*(?=[a-z])[A-Za-z0-9]+)*")
 _BREAK = regex.compile(r"-[ \t]*\r?\n[ \t>*]*")
 
 
@@ -58,7 +62,8 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
 
 def plain_words(text: str) -> list[str]:
     """The words of ``words_of`` without their places."""
-    return [(_BREAK.sub("", w) if "\n" in w else w).lower() for w in _WORD.findall(text)]
+    words = (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+    return [(_BREAK.sub("", w) if "\n" in w else w).lower() for w in words] if "\n" in text else [w.lower() for w in words]
 
 
 class WaveletMatrix:
@@ -319,19 +324,25 @@ def search_shard(documents: list[np.ndarray], items: Items, share: float) -> lis
         local[own] = np.arange(len(own))
         masks, least_equal = _masks(passage), EQUAL * least[i]
 
-        def may_leak(text: np.ndarray, places: np.ndarray) -> bool:
-            """By three bounds on the matches, the cheapest first."""
-            if len(places) < need[i]:
-                return False
-            known = local[text]
-            known = known[known >= 0]
-            return np.minimum(np.bincount(known, minlength=len(times)), times).sum() >= least_equal and common_words(text, masks, m) >= least_equal
+        def may_leak(windows: list[tuple[int, int, int]], whole: bool) -> list[tuple[int, int, int]]:
+            """By three bounds on the matches, the cheapest first: hits inside, words in common in any order, words in common in their order."""
+            if not whole:  # whole stretches have enough hits
+                windows = [w for w in windows if np.count_nonzero((at[head[w[0]] : tail[w[0]]] >= w[1]) & (at[head[w[0]] : tail[w[0]]] < w[2])) >= need[i]]
+            out = []
+            for part in _portions(windows, 8):
+                size = np.array([b - a for _, a, b in part])
+                known = local[np.concatenate([values[a:b] for _, a, b in part])]
+                owner = np.repeat(np.arange(len(part)) * len(times), size)[known >= 0]
+                counts = np.bincount(owner + known[known >= 0], minlength=len(part) * len(times)).reshape(len(part), -1)
+                fit = np.minimum(counts, times).sum(axis=1) >= least_equal
+                out += [w for w, yes in zip(part, fit) if yes and common_words(values[w[1] : w[2]], masks, m) >= least_equal]
+            return out
 
         todo = [(int(s), int(a), int(b)) for s in group for a, b in _windows(int(x[s]), int(y[s]), m)]
+        whole = len(todo) == len(group)
         while todo:
-            live = [(s, a, b) for s, a, b in todo if may_leak(values[a:b], at[head[s] : tail[s]][(at[head[s] : tail[s]] >= a) & (at[head[s] : tail[s]] < b)])]
-            live.sort(key=lambda w: w[2] - w[1])
-            todo = []
+            live = may_leak(sorted(todo, key=lambda w: w[2] - w[1]), whole)
+            todo, whole = [], False
             for part in _portions(live, m):
                 for (s, a, b), (matches, first, last, begin, end) in zip(part, align([values[a:b] for _, a, b in part], passage)):
                     if (last - first + 1) >= share * m and matches >= EQUAL * (last - first + 1):
@@ -420,7 +431,7 @@ def _searcher(items: Items, share: float):  # noqa: ANN202
                 words = plain_words(text)
                 if not words:
                     continue
-                held.append((key, np.array([numbers.get(w, OTHER) for w in words]), text))
+                held.append((key, np.fromiter(map(numbers.get, words, repeat(OTHER)), np.int64, len(words)), text))
                 size += len(words) + 1
                 if size >= SHARD_WORDS and items.ids:
                     yield from flush()

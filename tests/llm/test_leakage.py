@@ -183,5 +183,11 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in lk.leaks(df, items).collect()} == {(1, 0), (2, 4)}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("abZ9é- \n\r\t>*_.ß\u0301"), max_size=30))
+def test_words_with_and_without_places(text):
+    assert lk.plain_words(text) == [w for w, _, _ in lk.words_of(text)]
+
+
 def test_merged():
     assert lk.merged([(5, 9), (1, 3), (8, 12), (20, 21)]) == [(1, 3), (5, 12), (20, 21)]
