@@ -93,9 +93,12 @@ _RUN = re.compile(r"(?<![\w@#=/.-])(?:\+|\()?\d[\d()]*(?:(?:[ \u00a0./-]|\) |\)-
 _NUM = re.compile(r"\d+")
 _DIGIT = re.compile(r"\d")
 _ID = {k: re.compile(rf"(?<![\w@#=/.-]){v}(?![\w@])(?!-\w)(?!\.\d)", re.I) for k, v in _ID_FORMS.items()}
+#: What every form begins with: a text without it has none.
+_ID_BEGIN = re.compile(r"(?<![\w@#=/.-])[a-z]{0,6}-?\d", re.I)
+_DE_ENDINGS = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ring", "ufer", "damm")
 _ADDRESS = {
     "en": re.compile(rf"(?:(?:flat|apt\.?|unit|suite) \d+[a-z]?,? )?(?<![\w@#=/.:-])\d{{1,5}}[a-z]?,? (?:[nsew]\.? )?(?:{_W} ){{1,3}}(?:{_STREET.replace(' ', '|')})\b(?:\.?,? (?:apt|flat|unit|suite)\.? \d+[a-z]?)?", re.I),
-    "de": re.compile(r"(?<![\w@#])(?:[^\W\d_]+[ -])?[^\W\d_]{2,}(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|ufer|damm) \d{1,4} ?[a-z]?\b(?:, \d{5} [^\W\d_]+)?", re.I),
+    "de": re.compile(r"(?<![\w@#])(?:[^\W\d_]+[ -])?[^\W\d_]{2,}(?:%s) \d{1,4} ?[a-z]?\b(?:, \d{5} [^\W\d_]+)?" % "|".join(map(re.escape, _DE_ENDINGS)), re.I),
     "fr": re.compile(rf"(?<![\w@#=/.:-])\d{{1,4}},? (?:bis |ter )?(?:rue|avenue|boulevard|place|allée|chemin|quai|impasse) (?:de la |des |du |de |d['’]|l['’])*{_W}(?:, \d{{5}} {_W})?", re.I),
     "es": re.compile(rf"(?<![\w@#])(?:c/ ?|(?:calle|avenida|avda\.?|plaza|paseo|via|viale|corso|piazza) )(?:de la |del |de )?{_W}(?: {_W})?,? (?:n[º°o.]+ ?)?\d{{1,4}}(?:, \d{{1,2}} ?[º°ª] ?\w\b)?", re.I),
     "box": re.compile(r"(?<![\w@#])(?:p\.? ?o\.? ?box|post office box|postfach|apartado(?: de correos)?|casella postale) (?:no\.? ?)?\d{1,8}", re.I),
@@ -103,7 +106,8 @@ _ADDRESS = {
 _WORDS = re.compile(_W)
 _TITLE = re.compile(rf"\b({TITLES.replace(' ', '|')})\b\.?\s+(?:[^\W\d_]\.\s+){{0,2}}({_W})", re.I)
 #: What announces a name, so that two capitalised words may be one though neither is listed.
-_ANNOUNCED = re.compile(r"(?:\b(?:my name is|name's|signed|regards|sincerely|yours truly|i am called)[,:]? )\Z", re.I)
+_ANNOUNCES = r"\b(?:my name is|name's|signed|regards|sincerely|yours truly|i am called)[,:]? "
+_ANNOUNCED, _ANNOUNCED_ANYWHERE = re.compile(rf"(?:{_ANNOUNCES})\Z", re.I), re.compile(_ANNOUNCES, re.I)
 _PAIR_GAP = re.compile(r"(?:\s|\s[^\W\d_]\.\s|,\s)\Z")
 
 
@@ -255,7 +259,7 @@ def _phones(text: str) -> Iterator[Segment]:
 
 
 def _ids(text: str) -> Iterator[Segment]:
-    for form, pattern in _ID.items():
+    for form, pattern in _ID.items() if _ID_BEGIN.search(text) else ():
         for m in pattern.finditer(text):
             f = _surroundings(text, m.start(), m.end(), "id_number")
             f[f"id_number:form {form}"] = 1.0
@@ -271,7 +275,10 @@ def _ids(text: str) -> Iterator[Segment]:
 
 
 def _addresses(text: str) -> Iterator[Segment]:
+    low = text.lower()
     for form, pattern in _ADDRESS.items():
+        if form == "de" and text.isascii() and not any(e in low for e in _DE_ENDINGS):
+            continue
         for m in pattern.finditer(text):
             f = _surroundings(text, m.start(), m.end(), "address")
             f[f"address:form {form}"] = 1.0
@@ -291,13 +298,16 @@ def _addresses(text: str) -> Iterator[Segment]:
 def _names(text: str, names: NameList) -> Iterator[Segment]:
     words = [(m.start(), m.end(), m[0]) for m in _WORDS.finditer(text)]
     like = [names.family_like(w) for _, _, w in words]
+    lows = [w.lower() for _, _, w in words]
+    given_name = [w in names.given for w in lows]
+    listed = [x >= 0.7 or g for x, g in zip(like, given_name)]
     done = set()
 
     def outside(a: int, b: int) -> bool:
         """Not part of a handle, link, tag or e-mail address."""
         return not (re.search(r"[@#/_=+&]\Z|\w[.'’-]\Z", text[:a][-2:]) or re.match(r"[@_/+=]|[.-]\w|\d", text[b : b + 2]))
 
-    titled = not text.isascii() or any(p in _TITLE_SET for _, _, w in words for p in re.split("[-']", w.lower()))
+    titled = not text.isascii() or not _TITLE_SET.isdisjoint(lows) or any(p in _TITLE_SET for w in lows if "-" in w or "'" in w for p in re.split("[-']", w))
     for m in _TITLE.finditer(text) if titled else ():
         if not outside(m.start(), m.end()):
             continue
@@ -313,13 +323,17 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
         f["name:title, capital"] = float(word[0].isupper() and m[1][0].isupper())
         f["name:title, common word"] = float(word.lower() in _COMMON)
         yield Segment(m.start(), m.end(), "name", f)
+    may_announce = _ANNOUNCED_ANYWHERE.search(text) is not None
+    if not may_announce and True not in listed:
+        return
     for i in range(len(words) - 1):
-        announced = words[i][2][0].isupper() and _ANNOUNCED.search(text[max(0, words[i][0] - 20) : words[i][0]]) is not None
+        announced = may_announce and words[i][2][0].isupper() and _ANNOUNCED.search(text[max(0, words[i][0] - 20) : words[i][0]]) is not None
+        if not announced and not (listed[i] or listed[i + 1] or (i + 2 < len(words) and listed[i + 2])):
+            continue
         for j in (i + 1, i + 2):
             if j >= len(words):
                 continue
-            listed = like[i] >= 0.7 or like[j] >= 0.7 or words[i][2].lower() in names.given or words[j][2].lower() in names.given
-            if not listed and not (announced and words[j][2][0].isupper()):
+            if not (listed[i] or listed[j]) and not (announced and words[j][2][0].isupper()):
                 continue
             gap = text[words[i][1] : words[j][0]]
             if not _PAIR_GAP.match(gap) or (j == i + 2 and len(words[i + 1][2]) != 1):
@@ -327,7 +341,7 @@ def _names(text: str, names: NameList) -> Iterator[Segment]:
             turned = "," in gap
             given, family = (words[j][2], words[i][2]) if turned else (words[i][2], words[j][2])
             score = like[i] if turned else like[j]
-            known = given.lower() in names.given
+            known = given_name[j] if turned else given_name[i]
             if score < 0.7 and not ((known or announced) and family[0].isupper() and given[0].isupper() and not family.isupper()):
                 continue
             a, b = words[i][0], words[j][1]

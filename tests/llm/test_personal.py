@@ -161,3 +161,16 @@ def test_without_a_name_list(spark):
     nobody = p.read_names(spark.createDataFrame([], "name string, kind string"))
     model = p.trained(nobody, examples=300)
     assert [s.kind for s in p.find("call +44 20 7946 0123", nobody, model)] == ["phone"]
+
+
+def test_gates_lose_no_candidate(names, monkeypatch):
+    import re
+
+    texts = [*FOUND, *CLEAN, *OTHER_FORMS, *(t for t, _ in p.corpus(names, 1500, 6))]
+    texts += [t.upper() for t in texts] + [t.replace("s", "ſ") for t in texts]
+    shown = lambda: [sorted((s.start, s.end, s.kind) for s in p.candidates(t, names)) for t in texts]
+    gated = shown()
+    monkeypatch.setattr(p, "_ID_BEGIN", re.compile(""))
+    monkeypatch.setattr(p, "_DE_ENDINGS", ("",))
+    monkeypatch.setattr(p, "_ANNOUNCED_ANYWHERE", re.compile(""))
+    assert shown() == gated
