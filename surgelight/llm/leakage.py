@@ -222,12 +222,14 @@ def align(texts: list[np.ndarray], passage: np.ndarray) -> list[tuple[int, int,
     words = np.full((len(texts), longest), -1, np.int64)
     for k, t in enumerate(texts):
         words[k, : len(t)] = t
-    table = np.zeros((len(texts), longest + 1, m + 1), np.int32)
-    steps = np.arange(m + 1, dtype=np.int32)
-    row = np.zeros((len(texts), m + 1), np.int32)
+    kind = np.int16 if m <= 10_000 else np.int32  # no score is above twice the passage
+    table = np.zeros((len(texts), longest + 1, m + 1), kind)
+    steps = np.arange(m + 1, dtype=kind)
+    row = np.zeros((len(texts), m + 1), kind)
+    equal, other = kind(2), kind(-1)
     for i in range(1, longest + 1):
         up = table[:, i - 1]
-        row[:, 1:] = np.maximum(np.maximum(up[:, :-1] + np.where(words[:, i - 1, None] == passage, 2, -1), up[:, 1:] - 1), 0)
+        row[:, 1:] = np.maximum(np.maximum(up[:, :-1] + np.where(words[:, i - 1, None] == passage, equal, other), up[:, 1:] - 1), 0)
         table[:, i] = np.maximum(np.maximum.accumulate(row + steps, axis=1) - steps, 0)
     return [_traced(table[k], t, passage) for k, t in enumerate(texts)]
 
