@@ -27,13 +27,14 @@ def _tie(df: DataFrame) -> Column:
 
 def _ranged(df: DataFrame, order_col: str, rows: int) -> tuple[DataFrame, int]:
     """Adds ``_r``, which never falls as (order, ``_h``) rises, and ``_h`` for the order among equals; null orders have the lowest ``_r``. Also how many rows there are."""
-    order = F.col(order_col)
+    order = F.col(order_col).cast("bigint")
     low, high, n, empty = df.agg(F.min(order), F.max(order), F.count(order), F.count(F.lit(1)) - F.count(order)).first()
     width = 1 if low is None else high - low + 1
     if n <= 4 * width and width <= 4 * n and empty <= rows:  # dense: ranges of equal width are evenly filled
         return df.withColumns({"_h": F.lit(0.0), "_r": F.coalesce(F.floor((order - F.lit(low)) / rows), F.lit(-1)) if n else F.lit(-1).cast("bigint")}), n + empty
     step = max(1, -(-width // STRETCHES))
-    stretch = F.coalesce(F.floor((order - F.lit(low)) / step), F.lit(-1)) if n else F.lit(-1).cast("bigint")
+    beyond = order.cast("double") - float(low) if n and width >= 1 << 62 else order - F.lit(low)  # no overflow
+    stretch = F.coalesce(F.floor(beyond / float(step)), F.lit(-1)) if n else F.lit(-1).cast("bigint")
     cut = df.withColumns({"_h": _tie(df), "_s": stretch})
     within = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("lo"), F.max(order).alias("hi"))
     crowded = within.where(F.col("c") > rows).collect()  # at most STRETCHES + 1 rows

@@ -16,6 +16,7 @@ ORDERS = {
     "equal": [5] * 300 + [6] * 50 + [10**12],
     "nulls": [None] * 200 + [R.randrange(10**9) for _ in range(200)],
     "all null": [None] * 50,
+    "extreme": [-(1 << 63), (1 << 63) - 1, 0, 5, 5] + [R.randrange(-(1 << 63), 1 << 63) for _ in range(100)],
     "negative": [-(10**17), -3, -3, 0, 10**17],
 }
 
@@ -42,6 +43,11 @@ def test_crowded_orders_make_several_ranges(spark):
         assert max(r["count"] for r in order._ranged(df, "seq", 40)[0].groupBy("_r").count().collect()) <= 120
 
 
+def test_a_column_of_small_integers(spark):
+    df = spark.createDataFrame([(x,) for x in (-(1 << 31), (1 << 31) - 1, 7, 7)], "seq int")
+    assert [r.seq for r in order.with_ordinal(df).orderBy("ordinal").collect()] == [-(1 << 31), 7, 7, (1 << 31) - 1]
+
+
 def test_empty_table(spark):
     assert order.with_ordinal(spark.createDataFrame([], "seq bigint")).count() == 0
 
