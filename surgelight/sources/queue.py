@@ -20,9 +20,11 @@ source for its latest offset without telling where its checkpoint stands, so a l
 from __future__ import annotations
 
 import importlib
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
@@ -201,7 +203,9 @@ def plain_options(options) -> dict[str, str]:  # noqa: ANN001
 
 def client_of(options: dict[str, str]):  # noqa: ANN201
     module, _, name = options.get("client", "surgelight.sources.queue:FolderClient").partition(":")
-    return getattr(importlib.import_module(module), name)(options)
+    own = {c.__name__: c for c in (FolderClient, LogClient, BrokerClient)}
+    client = own[name] if module == "surgelight.sources.queue" else getattr(importlib.import_module(module), name)
+    return client(options)
 
 
 class _Part(InputPartition):
@@ -315,3 +319,7 @@ class QueueSource(DataSource):
 
     def streamWriter(self, schema, overwrite):  # noqa: ANN001, ANN201, N802
         return _StreamWriter(plain_options(self.options))
+
+
+# The process in which Spark plans a Python source knows nothing of shipped packages: the classes above travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
